@@ -135,15 +135,13 @@ def pick_by_policy(cands: DataFrame, keys: list[str], kata: DataFrame, small_sid
         first(mix & (is_digit | is_mark)).alias("_num"),
         first(mix & ~is_digit & (F.col("cls") != "-") & F.col("_kata").isNull()).alias("_text"),
         F.min(F.when(mix, key)).alias("_k1"),
-        F.min(F.when(mix & (F.col("cls") == "'"), key)).alias("_tick"),
-        F.min(F.when(mix & F.col("cls").isin("0", "o"), key)).alias("_ring"))
+        F.min(F.when(mix & F.col("cls").isin("'", "0", "o"), key)).alias("_mark"))
     # the second best of the mix: the best one is left out in a second fold
     second = c.where(mix).join(got.select(*keys, F.col("_k1.c").alias("_c1")), keys).where(F.col("cls") != F.col("_c1")) \
         .groupBy(*keys).agg(F.min(key).alias("_k2"))
     j = got.join(second, keys, "left")
-    edge = F.coalesce("_k2", "_k1")
-    tick, ring = F.col("_tick") <= edge, F.col("_ring") <= edge
-    mark = F.when(F.col("_side") < small_side, F.when(tick, "゙").when(ring, "゚"))
+    in_two = (F.col("_side") < small_side) & (F.col("_mark") <= F.coalesce("_k2", "_k1"))
+    mark = F.when(in_two, F.when(F.col("_mark.c") == "'", "゙").otherwise("゚"))
     num = F.when(F.col("_num").isin("-", "(", ")"), F.col("_num")).otherwise(F.col("_number"))
     pick = (F.when(F.col("type") == 1, F.coalesce(num, F.col("_mix"))).when(F.col("type") == 2, F.coalesce("_text", "_mix"))
             .when(F.col("type") == 3, F.coalesce(mark, F.col("_katabest"), F.col("_mix"))).when(F.col("type") == 4, F.coalesce("_kanji", "_mix"))

@@ -133,6 +133,35 @@ def posteriors(spark, sf) -> DataFrame:
     return ev.withColumn("p", p).select("seq_id", "t", rows.alias("r")).select("seq_id", "t", "r.cls", F.round("r.p", 2).alias("p"))
 
 
+def paths(spark, sf) -> DataFrame:
+    """A recognition path per document: template / form / field / kind and line / w.N-C.png."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("number", "text", "kata", "kanji")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    n = F.col("doc_id")
+    return documents(spark, sf).select("doc_id", "lang", "source", F.concat(
+        F.lit("/scan/t"), n % 4 + 1, F.lit("/form"), n % 7, F.lit("/field_"), n % 9 + 1, F.lit("/"), kind, F.lit("_line_"), n % 3 + 1,
+        F.lit("/labeled/w."), n, F.lit("-"), F.translate(F.substring("text", 1, 1), "/\n", "__"), F.lit(".png")).alias("path"))
+
+
+def marks(spark, sf) -> DataFrame:
+    """Review marks: form = source, field = doc_id % 8, T for good quality."""
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    return lab.join(documents(spark, sf).select("doc_id", "source"), "doc_id").select(
+        F.col("source").alias("form"), (F.col("doc_id") % 8).alias("field_id"), F.when(F.col("quality") == 1, "T").otherwise("F").alias("mark"))
+
+
+def char_hits(spark, sf) -> DataFrame:
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", F.col("c_nationkey").cast("bigint").alias("form"), (F.col("c_custkey") % 5).alias("field_id"), (F.col("c_custkey") % 11).alias("line_no"),
+                    F.substring("c_name", -1, 1).alias("txt"), F.round(F.col("c_acctbal") * 100).cast("bigint").alias("cents"))
+
+
+def ranked(spark, sf) -> DataFrame:
+    """Real and best class per vector: (vec_id, real, pred)."""
+    from pagescale.operators.metrics import best_k
+    c = candidates(spark, sf).select("vec_id", F.col("label").cast("string").alias("real"), "class", "score")
+    return best_k(c, ["vec_id", "real"], 1).select("vec_id", "real", F.col("top")[0].alias("pred"))
+
+
 def doc_pairs(spark, sf) -> DataFrame:
     """Pairs a < b of documents sharing at least 3 long lines that stand in exactly two documents."""
     ln = lines(spark, sf).where(F.length("line") > 30).select("doc_id", "line").groupBy("line").agg(
@@ -199,6 +228,19 @@ SQL = {
     "posteriors": """
         SELECT seq_id, t, event_type AS cls, CAST(p AS DOUBLE) AS p FROM steps
         UNION ALL SELECT seq_id, t, 'view', CAST(round(1 - p, 2) AS DOUBLE) FROM steps WHERE event_type <> 'view'""",
+    "paths": """
+        SELECT doc_id, lang, source, '/scan/t' || (doc_id % 4 + 1) || '/form' || (doc_id % 7) || '/field_' || (doc_id % 9 + 1) || '/' ||
+               ['number', 'text', 'kata', 'kanji'][doc_id % 4 + 1] || '_line_' || (doc_id % 3 + 1) || '/labeled/w.' || doc_id || '-' ||
+               translate(substr(text, 1, 1), '/' || chr(10), '__') || '.png' AS path FROM documents""",
+    "marks": """
+        SELECT source AS form, doc_id % 8 AS field_id, CASE WHEN quality = 1 THEN 'T' ELSE 'F' END AS mark
+        FROM labels JOIN documents USING (doc_id)""",
+    "char_hits": """
+        SELECT c_custkey, c_nationkey::BIGINT AS form, c_custkey % 5 AS field_id, c_custkey % 11 AS line_no, right(c_name, 1) AS txt,
+               CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer""",
+    "ranked": """
+        SELECT vec_id, label::VARCHAR AS real, class AS pred FROM
+          (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, class) AS rk FROM candidates) WHERE rk = 1""",
     "doc_pairs": """
         SELECT a, b FROM (SELECT min(doc_id) AS a, max(doc_id) AS b FROM lines WHERE length(line) > 30
                           GROUP BY line HAVING count(DISTINCT doc_id) = 2) GROUP BY a, b HAVING count(*) >= 3""",
@@ -207,7 +249,7 @@ SQL = {
 NEEDS = {
     "words": ["lines"], "line_boxes": ["page_words"], "blocks": ["page_words"], "cells": ["page_words"],
     "row_profile": ["cells"], "col_profile": ["cells"], "pivots": ["col_profile"],
-    "word_pairs": ["words"], "line_pairs": ["lines"], "candidates": ["means"], "posteriors": ["steps"], "doc_pairs": ["lines"],
+    "word_pairs": ["words"], "line_pairs": ["lines"], "candidates": ["means"], "ranked": ["candidates"], "posteriors": ["steps"], "doc_pairs": ["lines"],
 }
 
 
