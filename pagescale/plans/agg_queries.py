@@ -61,7 +61,7 @@ def _(spark, sf):
     GROUP BY f.form, f.field_id""", "marks")
 def _(spark, sf):
     forms = V.documents(spark, sf).select(F.col("source").alias("form")).distinct()
-    fields = forms.select("form", F.explode(F.sequence(F.lit(0), F.lit(8))).cast("bigint").alias("field_id"))
+    fields = forms.select("form", F.explode(F.expr("sequence(0L, 8L)")).alias("field_id"))
     return M.field_accuracy(V.marks(spark, sf), fields).withColumn("pct", F.round("pct", 6))
 
 

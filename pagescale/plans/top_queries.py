@@ -107,6 +107,6 @@ def _(spark, sf):
 
 @query("top10_noise_plan", """
     SELECT vec_id, CASE WHEN ('0x' || substr(md5(vec_id || ':9'), 1, 8))::BIGINT < 858993459 THEN
-      ('0x' || substr(md5(vec_id || ':9'), 9, 8))::BIGINT % (SELECT count(*) FROM pages) END AS bg_id FROM embeddings""")
+      ('0x' || substr(md5(vec_id || ':9'), 9, 8))::BIGINT % (SELECT count(*) FROM pages) ELSE -1 END AS bg_id FROM embeddings""")
 def _(spark, sf):
-    return R.noise_plan(V.table(spark, sf, "embeddings"), ["vec_id"], V.table(spark, sf, "pages"), 0.2, 9)
+    return R.noise_plan(V.table(spark, sf, "embeddings"), ["vec_id"], V.table(spark, sf, "pages"), 0.2, 9).na.fill(-1, ["bg_id"])
