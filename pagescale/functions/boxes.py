@@ -214,3 +214,25 @@ def trim_lines(df: DataFrame, keys, axis: str, size: str | None = None, margin:
         return df.groupBy(*keys).agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"))
     got = df.groupBy(*keys).agg(F.min("y0").alias("lo"), F.max("y1").alias("hi"), F.max(size).alias("_h"))
     return got.select(*keys, F.greatest(F.col("lo") - margin, F.lit(0)).alias("lo"), F.least(F.col("hi") + margin, F.col("_h") - 1).alias("hi"))
+
+
+# ---- groups of boxes ------------------------------------------------------
+
+def mbr(df: DataFrame, keys) -> DataFrame:
+    """Smallest rectangle around each group of boxes."""
+    return df.groupBy(*keys).agg(F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.max("y1").alias("y1"), F.max("x1").alias("x1"))
+
+
+def classify_boxes(df: DataFrame, keys) -> DataFrame:
+    """Adds ``type`` and ``line_height``. type: 0 text, 1 horizontal line, 2 vertical line;
+    more than 6 times the page's mean text area: 3 (text, higher than twice the mean
+    text height), 4 (vertical line), else 5. line_height: a text box (before the area
+    rule) whose height lies within 0.66 and 1.5 of the mean."""
+    df = df.withColumn("_t", F.when(is_hline(), 1).when(is_vline(), 2).otherwise(0))
+    text = F.col("_t") == 0
+    mean = df.groupBy(*keys).agg(F.avg(F.when(text, area())).alias("_a"), F.avg(F.when(text, height())).alias("_h"))
+    d = df.join(mean, list(keys))
+    big = area() > 6 * F.col("_a")
+    kind = (F.when(big & text & (height() > 2 * F.col("_h")), 3).when(big & (F.col("_t") == 2), 4).when(big, 5).otherwise(F.col("_t")))
+    fits = text & (height() > 0.66 * F.col("_h")) & (height() < 1.5 * F.col("_h"))
+    return d.withColumn("type", kind).withColumn("line_height", fits).drop("_t", "_a", "_h")

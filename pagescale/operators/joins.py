@@ -157,3 +157,48 @@ def rename_keys(cells: DataFrame, names: DataFrame) -> DataFrame:
         t = names.select(F.col("old").alias(c), F.col("new").alias("_n"))
         cells = cells.join(t, c, "left").withColumn(c, F.coalesce("_n", c)).drop("_n")
     return cells
+
+
+def estimate_scale(boxes: DataFrame, keys: list[str], lo: float = 3, hi: float = 100) -> DataFrame:
+    """Median of sqrt(area) weighted by area over boxes that no smaller box overlaps
+    (ties: smaller id first), values strictly inside (lo, hi)."""
+    a, b = B.area("a_"), B.area("b_")
+    solid = (B.overlap_len("a_", "b_", "x") > 0) & (B.overlap_len("a_", "b_", "y") > 0)
+    covered = box_pairs(boxes, boxes, keys, solid & ((b < a) | ((b == a) & (F.col("b_id") < F.col("a_id"))))) \
+        .select(*keys, F.col("a_id").alias("id")).distinct()
+    d = boxes.join(covered, list(keys) + ["id"], "left_anti").withColumn("_s", F.sqrt(B.area().cast("double"))).where((F.col("_s") > lo) & (F.col("_s") < hi))
+    return d.groupBy(*keys).agg(F.percentile("_s", F.lit(0.5), B.area()).alias("scale"))
+
+
+def filter_children(df: DataFrame, keys: list[str], bound: int = 5, rounds: int = 50) -> DataFrame:
+    """Boxes kept by the parent rule, outermost first: a box holding at least ``bound`` live
+    boxes is rejected and they live on; one holding fewer stays and they are rejected.
+
+    The containment edges are made once and written out; each round settles every box
+    that no undecided box holds, so there are as many rounds as nesting levels (the
+    driver sees one count per round). Equal boxes: the smaller id holds the larger."""
+    from pagescale.session import materialise
+    same = F.lit(True)
+    for c in B.BOX:
+        same = same & (F.col("a_" + c) == F.col("b_" + c))
+    k = list(keys)
+    edges = contains_join(df, df, k).where((F.col("a_id") != F.col("b_id")) & (~same | (F.col("a_id") < F.col("b_id")))) \
+        .select(*k, F.col("a_id").alias("p"), F.col("b_id").alias("id"))
+    edges = materialise(edges)
+    open_ = df.select(*k, "id")
+    kept = None
+    for _ in range(rounds):
+        live = edges.join(open_, k + ["id"], "left_semi").join(open_.withColumnRenamed("id", "p"), k + ["p"], "left_semi")
+        n = live.groupBy(*k, F.col("p").alias("id")).agg(F.count("*").alias("n"))
+        roots = open_.join(live.select(*k, "id").distinct(), k + ["id"], "left_anti")
+        ruled = roots.join(n, k + ["id"], "left").select(*k, "id", (F.coalesce("n", F.lit(0)) < bound).alias("stay"))
+        stays = ruled.where("stay").select(*k, "id")
+        gone = live.join(stays.withColumnRenamed("id", "p"), k + ["p"], "left_semi").select(*k, "id").distinct()
+        stays = materialise(stays)
+        open_ = materialise(open_.join(ruled.select(*k, "id"), k + ["id"], "left_anti").join(gone, k + ["id"], "left_anti"))
+        kept = stays if kept is None else kept.unionByName(stays)
+        if open_.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"boxes nest deeper than {rounds} levels")
+    return df.join(kept, k + ["id"], "left_semi")
