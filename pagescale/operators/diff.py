@@ -6,7 +6,7 @@ lines of a pair are two documents, so its rows come from two input rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagescale.operators.blocks import Scan, number_rows, scan
@@ -21,81 +21,74 @@ def doc_lines(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.col("y").cast("bigint"), F.when(F.col("y") < F.col("n") - 1, F.concat("line", F.lit("\n"))).otherwise(F.col("line")).alias("line"), "n")
 
 
+def pair_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, b, s, y, line, n): the lines of both documents of a pair, s = 0 for a, 1 for b."""
+    sides = pairs.select("a", "b", F.inline(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("s")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("s")))))
+    return sides.join(lines, "doc_id").select("a", "b", "s", "y", "line", "n")
+
+
 def line_multiset_diff(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """(a, b, op, line, n): lines both documents hold, only a, only b, with how often. The
     copies of a line fold to two counts before anything is compared."""
-    l = lines.select("doc_id", "line")
-    one = pairs.join(l, pairs["a"] == l["doc_id"]).select("a", "b", "line", F.lit(1).alias("na"), F.lit(0).alias("nb"))
-    two = pairs.join(l, pairs["b"] == l["doc_id"]).select("a", "b", "line", F.lit(0).alias("na"), F.lit(1).alias("nb"))
-    n = one.unionByName(two).groupBy("a", "b", "line").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    n = pair_lines(pairs, lines).groupBy("a", "b", "line").agg(F.count_if(F.col("s") == 0).alias("na"), F.count_if(F.col("s") == 1).alias("nb"))
     ops = F.inline(F.filter(F.array(F.struct(F.lit(0).alias("op"), F.least("na", "nb").alias("n")), F.struct(F.lit(-1).alias("op"), (F.col("na") - F.col("nb")).alias("n")),
                                     F.struct(F.lit(1).alias("op"), (F.col("nb") - F.col("na")).alias("n"))), lambda s: s["n"] > 0))
     return n.select("a", "b", "line", ops)
 
 
-def _side(pairs: DataFrame, lines: DataFrame, side: str) -> DataFrame:
-    return pairs.join(lines.withColumnRenamed("doc_id", side), side).select("a", "b", "y", "line", "n")
-
-
-def _common_end(la: DataFrame, lb: DataFrame, at: Column) -> DataFrame:
-    """Number of equal lines from the start (or end, by ``at``) of each pair."""
-    x = la.select("a", "b", at.alias("i"), F.col("line").alias("la"))
-    y = lb.select("a", "b", at.alias("i"), F.col("line").alias("lb"))
-    j = x.join(y, PAIR + ["i"], "full")
-    return j.groupBy(*PAIR).agg(F.coalesce(F.min(F.when(~F.col("la").eqNullSafe(F.col("lb")), F.col("i"))), F.count("*")).alias("m"))
-
-
-def match_lines(pairs: DataFrame, lines: DataFrame, block: int = 4096) -> DataFrame:
-    """Matched lines (a, b, ya, yb): the common start and end, and between them the lines
-    unique on both sides whose order agrees with every other such line."""
-    la, lb = _side(pairs, lines, "a"), _side(pairs, lines, "b")
-    pre = _common_end(la, lb, F.col("y")).withColumnRenamed("m", "pre")
-    suf = _common_end(la, lb, F.col("n") - 1 - F.col("y")).withColumnRenamed("m", "suf")
-    size = la.groupBy(*PAIR).agg(F.max("n").alias("na")).join(lb.groupBy(*PAIR).agg(F.max("n").alias("nb")), PAIR)
-    lim = size.join(pre, PAIR).join(suf, PAIR).withColumn("suf", F.least("suf", F.least("na", "nb") - F.col("pre")))
-    ends = lim.select(*PAIR, F.inline(F.concat(
-        F.when(F.col("pre") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("pre") - 1), lambda i: F.struct(i.alias("ya"), i.alias("yb")))).otherwise(F.array()),
-        F.when(F.col("suf") > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("suf")), lambda i: F.struct((F.col("na") - i).alias("ya"), (F.col("nb") - i).alias("yb"))))
-        .otherwise(F.array()))))
-
-    def unique(side, name):
-        d = side.join(lim.select(*PAIR, "pre", "suf"), PAIR).where((F.col("y") >= F.col("pre")) & (F.col("y") < F.col("n") - F.col("suf")))
-        return d.groupBy(*PAIR, "line").agg(F.min("y").alias(name), F.count("*").alias("_c")).where("_c = 1").drop("_c")
-
-    anchor = unique(la, "ya").join(unique(lb, "yb"), PAIR + ["line"]).drop("line")
-    anchor = scan(anchor, PAIR, ["ya"], F.floor(F.col("ya") / block), _top=Scan("max_before", F.col("yb")), _low=Scan("min_after", F.col("yb")))
-    ok = F.coalesce(F.col("_top") < F.col("yb"), F.lit(True)) & F.coalesce(F.col("_low") > F.col("yb"), F.lit(True))
-    return ends.unionByName(anchor.where(ok).select(*PAIR, "ya", "yb"))
+def match_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of :func:`pair_lines` with ``m`` = 1 where a line is matched: the common start and
+    end, and between them the lines unique on both sides that no other such line crosses.
+
+    One join, then windows that all contain (a, b): the rows are shuffled once. The rows
+    of a pair come from two input rows, so a pair is a bounded group."""
+    d = pair_lines(pairs, lines).withColumn("i", F.col("n") - 1 - F.col("y"))
+    pair = Window.partitionBy(*PAIR)
+    d = d.withColumn("_na", F.max(F.when(F.col("s") == 0, F.col("n"))).over(pair)).withColumn("_nb", F.max(F.when(F.col("s") == 1, F.col("n"))).over(pair))
+    for at, out in (("y", "_pre"), ("i", "_suf")):
+        w = Window.partitionBy(*PAIR, at)
+        same = (F.count("*").over(w) == 2) & (F.min("line").over(w) == F.max("line").over(w))
+        d = d.withColumn("_same", same).withColumn(out, F.coalesce(F.min(F.when(~F.col("_same"), F.col(at))).over(pair), F.least("_na", "_nb")))
+    d = d.withColumn("_suf", F.least("_suf", F.least("_na", "_nb") - F.col("_pre")))
+    ends = (F.col("y") < F.col("_pre")) | (F.col("i") < F.col("_suf"))
+    d = d.withColumn("_mid", ~ends)
+    w = Window.partitionBy(*PAIR, "line")
+
+    def side(k, agg, v):
+        return agg(F.when(F.col("_mid") & (F.col("s") == k), v)).over(w)
+    once = F.col("_mid") & (side(0, F.count, F.col("y")) == 1) & (side(1, F.count, F.col("y")) == 1)
+    other = F.when(F.col("s") == 0, side(1, F.max, F.col("y"))).otherwise(side(0, F.max, F.col("y")))
+    d = d.withColumn("_at", F.when(once, other))
+    up = Window.partitionBy(*PAIR, "s").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*PAIR, "s").orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, -1)
+    clear = F.coalesce(F.max("_at").over(up) < F.col("_at"), F.lit(True)) & F.coalesce(F.min("_at").over(down) > F.col("_at"), F.lit(True))
+    d = d.withColumn("m", F.when(~F.col("_mid") | (F.col("_at").isNotNull() & clear), 1).otherwise(0))
+    return d.select(*PAIR, "s", "y", "line", "m")
 
 
 def _concat_sorted(order: str, text: str = "text") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), "")
 
 
-def line_diff(pairs: DataFrame, lines: DataFrame, block: int = 4096) -> DataFrame:
+def line_diff(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Ordered line diff. Between two matched lines stand the deleted ones, then the
     inserted ones; runs of one kind are merged. Monotone, not always minimal."""
-    m = match_lines(pairs, lines, block)
-
-    def numbered(side, y):
-        d = side.join(m.select(*PAIR, F.col(y).alias("y"), F.lit(1).alias("_m")), PAIR + ["y"], "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
-        d = scan(d, PAIR, ["y"], F.floor(F.col("y") / block), _g=Scan("sum", F.col("_m")))
-        return d.select(*PAIR, "y", F.col("line").alias("text"), "_m", (F.col("_g") - F.col("_m")).alias("g"))
-
-    da, db = numbered(_side(pairs, lines, "a"), "ya"), numbered(_side(pairs, lines, "b"), "yb")
-    gone = da.where("_m = 0").groupBy(*PAIR, "g").agg(_concat_sorted("y").alias("text")).withColumn("op", F.lit(-1))
-    new = db.where("_m = 0").groupBy(*PAIR, "g").agg(_concat_sorted("y").alias("text")).withColumn("op", F.lit(1))
-    edits = gone.unionByName(new)
-    same = da.where("_m = 1").join(edits.select(*PAIR, "g", F.lit(1).alias("_e")).distinct(), PAIR + ["g"], "left")
-    same = scan(same.withColumn("_e", F.coalesce("_e", F.lit(0))), PAIR, ["g"], F.floor(F.col("g") / block), _run=Scan("sum", F.col("_e")))
-    same = same.groupBy(*PAIR, "_run").agg(F.min("g").alias("g"), _concat_sorted("y").alias("text")).withColumn("op", F.lit(0)).drop("_run")
-    return _resequence(edits.unionByName(same))
+    d = match_lines(pairs, lines)
+    so_far = Window.partitionBy(*PAIR, "s").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("g", F.sum("m").over(so_far) - F.col("m"))
+    d = d.withColumn("_e", F.max(1 - F.col("m")).over(Window.partitionBy(*PAIR, "g")))
+    d = d.where((F.col("m") == 0) | (F.col("s") == 0))
+    kind = Window.partitionBy(*PAIR, "s", "m").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_run", F.when(F.col("m") == 1, F.sum("_e").over(kind)))
+    d = d.withColumn("g", F.when(F.col("m") == 1, F.min("g").over(Window.partitionBy(*PAIR, "s", "m", "_run"))).otherwise(F.col("g")))
+    op = F.when(F.col("m") == 1, 0).when(F.col("s") == 0, -1).otherwise(1)
+    return _resequence(d.groupBy(*PAIR, "g", op.alias("op")).agg(_concat_sorted("y", "line").alias("text")))
 
 
 def _resequence(d: DataFrame) -> DataFrame:
     """Number ops by gap: deleted, inserted, then the equal run."""
     d = d.withColumn("_o", F.when(F.col("op") == -1, 0).when(F.col("op") == 1, 1).otherwise(2))
-    return number_rows(d, PAIR, ["g", "_o"], F.floor(F.col("g") / 4096), "seq").select(*PAIR, "seq", "op", "text")
+    return number_rows(d, PAIR, ["g", "_o"], None, "seq").select(*PAIR, "seq", "op", "text")
 
 
 def diff_text(diffs: DataFrame, side: int) -> DataFrame:
@@ -108,7 +101,7 @@ def diff_stats(diffs: DataFrame) -> DataFrame:
     """Inserted, deleted, equal characters and the edit distance the diff implies: per
     stretch of edits the larger of its two lengths."""
     n = F.length("text")
-    d = scan(diffs, PAIR, ["seq"], F.floor(F.col("seq") / 4096), _run=Scan("sum", F.when(F.col("op") == 0, 1).otherwise(0)))
+    d = scan(diffs, PAIR, ["seq"], None, _run=Scan("sum", F.when(F.col("op") == 0, 1).otherwise(0)))
     r = d.groupBy(*PAIR, "_run").agg(*[F.sum(F.when(F.col("op") == o, n).otherwise(0)).alias(c) for o, c in ((1, "inserted"), (-1, "deleted"), (0, "equal"))])
     return r.groupBy(*PAIR).agg(F.sum("inserted").alias("inserted"), F.sum("deleted").alias("deleted"), F.sum("equal").alias("equal"),
                                 F.sum(F.greatest("inserted", "deleted")).alias("distance"))
@@ -117,7 +110,7 @@ def diff_stats(diffs: DataFrame) -> DataFrame:
 def with_offsets(diffs: DataFrame) -> DataFrame:
     """Adds start1 and start2: where each op begins in the two texts."""
     n = F.length("text")
-    d = scan(diffs, PAIR, ["seq"], F.floor(F.col("seq") / 4096), _e1=Scan("sum", F.when(F.col("op") <= 0, n).otherwise(0)),
+    d = scan(diffs, PAIR, ["seq"], None, _e1=Scan("sum", F.when(F.col("op") <= 0, n).otherwise(0)),
              _e2=Scan("sum", F.when(F.col("op") >= 0, n).otherwise(0)))
     return d.select(*PAIR, "seq", "op", "text", (F.col("_e1") - F.when(F.col("op") <= 0, n).otherwise(0)).alias("start1"),
                     (F.col("_e2") - F.when(F.col("op") >= 0, n).otherwise(0)).alias("start2"))
@@ -156,10 +149,9 @@ def merge_diff(diffs: DataFrame) -> DataFrame:
     """Between two equal stretches one deletion and one insertion; touching equal ops and
     empty ones merge away. Input order is ``seq`` (equal seq: deletion first)."""
     d = diffs.where(F.length("text") > 0).withColumn("_eq", F.when(F.col("op") == 0, 1).otherwise(0)).withColumn("_o", F.when(F.col("op") == -1, 0).otherwise(1))
-    blk = F.floor(F.col("seq") / 4096)
-    d = scan(d, PAIR, ["seq", "_o"], blk, _p=Scan("prev", F.col("_eq")))
+    d = scan(d, PAIR, ["seq", "_o"], None, _p=Scan("prev", F.col("_eq")))
     turn = F.when(F.col("_p").isNull() | (F.col("_p") != F.col("_eq")), 1).otherwise(0)
-    d = scan(d.withColumn("_turn", turn), PAIR, ["seq", "_o"], blk, g=Scan("sum", F.col("_turn")))
+    d = scan(d.withColumn("_turn", turn), PAIR, ["seq", "_o"], None, g=Scan("sum", F.col("_turn")))
     return _resequence(d.groupBy(*PAIR, "g", "op").agg(_concat_sorted("seq").alias("text")))
 
 
@@ -170,8 +162,7 @@ def clean_round(diffs: DataFrame, mode: str, edit_cost: int = 4) -> DataFrame:
     ``edit_cost`` with both kinds of edit on both sides, or shorter than half of it with
     three of the four. Both sides come by equi-join on the number of the equal op."""
     n = F.length("text")
-    blk = F.floor(F.col("seq") / 4096)
-    d = scan(diffs, PAIR, ["seq"], blk, _k=Scan("sum", F.when(F.col("op") == 0, 1).otherwise(0)))
+    d = scan(diffs, PAIR, ["seq"], None, _k=Scan("sum", F.when(F.col("op") == 0, 1).otherwise(0)))
     e = d.where("op <> 0").groupBy(*PAIR, "_k").agg(F.sum(F.when(F.col("op") == 1, n).otherwise(0)).alias("_i"), F.sum(F.when(F.col("op") == -1, n).otherwise(0)).alias("_d"))
     before = e.select(*PAIR, (F.col("_k") + 1).alias("_k"), F.col("_i").alias("_i0"), F.col("_d").alias("_d0"))
     after = e.select(*PAIR, "_k", F.col("_i").alias("_i1"), F.col("_d").alias("_d1"))
@@ -247,10 +238,9 @@ def make_edits(diffs: DataFrame, margin: int = 4) -> DataFrame:
     2 * margin equal characters between them become one; before and after are up to
     ``margin`` characters of context."""
     d = with_offsets(diffs)
-    blk = F.floor(F.col("seq") / 4096)
     wide = (F.col("op") == 0) & (F.length("text") > 2 * margin)
     eq = F.when(F.col("op") == 0, F.col("text"))
-    d = scan(d, PAIR, ["seq"], blk, _g=Scan("sum", F.when(wide, 1).otherwise(0)), _pe=Scan("prev", eq), _ne=Scan("next", eq))
+    d = scan(d, PAIR, ["seq"], None, _g=Scan("sum", F.when(wide, 1).otherwise(0)), _pe=Scan("prev", eq), _ne=Scan("next", eq))
     span = d.where("op <> 0").groupBy(*PAIR, "_g").agg(
         F.min("seq").alias("_lo"), F.max("seq").alias("_hi"), F.min_by("_pe", "seq").alias("_pe"), F.max_by("_ne", "seq").alias("_ne"))
     j = d.select(*PAIR, "_g", "seq", "op", "text", "start1", "start2").join(span, PAIR + ["_g"]).where((F.col("seq") >= F.col("_lo")) & (F.col("seq") <= F.col("_hi")))
@@ -262,7 +252,7 @@ def make_edits(diffs: DataFrame, margin: int = 4) -> DataFrame:
         return F.array_join(F.transform(F.filter("_l", keep), lambda s: s["text"]), "")
     got = got.select(*PAIR, "start1", "start2", side(lambda s: s["op"] <= 0).alias("old"), side(lambda s: s["op"] >= 0).alias("new"),
                      F.coalesce(F.right("_pe", F.lit(margin)), F.lit("")).alias("before"), F.coalesce(F.left("_ne", F.lit(margin)), F.lit("")).alias("after"))
-    return number_rows(got, PAIR, ["start1", "start2"], F.floor(F.col("start1") / (1 << 20)), "edit").select(*PAIR, "edit", "start1", "start2", "old", "new", "before", "after")
+    return number_rows(got, PAIR, ["start1", "start2"], None, "edit").select(*PAIR, "edit", "start1", "start2", "old", "new", "before", "after")
 
 
 def apply_edits(docs: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:

@@ -265,5 +265,5 @@ def with_views(body: str, *views: str, **extra: str) -> str:
 
     for v in views:
         add(v)
-    ctes = [f"{v} AS MATERIALIZED ({SQL[v].strip()})" for v in order] + [f"{n} AS ({s.strip()})" for n, s in extra.items()]
+    ctes = [f"{v} AS MATERIALIZED ({SQL[v].strip()})" for v in order] + [f"{n} AS MATERIALIZED ({s.strip()})" for n, s in extra.items()]
     return (f"WITH {', '.join(ctes)} " if ctes else "") + body.strip()
