@@ -12,7 +12,7 @@ import pandas as pd  # noqa: E402
 import __spark_entry__ as entry_module  # noqa: E402
 from pagescale.session import local_session  # noqa: E402
 
-TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
 
 
 def canon(pdf):
