@@ -182,8 +182,8 @@ def _(spark, sf):
 # ---- streams --------------------------------------------------------------
 
 @query("str1_monitor_stream", """
-    SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS "start", count(*) AS n, round(sum(value), 4) AS total FROM events
-    GROUP BY ALL HAVING time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)""")
+    SELECT event_type, "start", n, total FROM (SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS "start", count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+    WHERE "start" + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)""")
 def _(spark, sf):
     """All events through a file stream; windows the watermark has closed are out."""
     src = V.events(spark, sf)
