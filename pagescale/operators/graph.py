@@ -268,7 +268,7 @@ def xy_cut(boxes: DataFrame, keys: list[str], gap_x: int, gap_y: int, mode: str
             room = c(f"{ax}0") - c("_reach")
             d = d.withColumn(f"_g{ax}", F.when(room >= gap, room)).drop("_reach")
         d = materialise(d)
-        best = d.groupBy(*on).agg(F.max("_gx").alias("_mx"), F.max("_gy").alias("_my"), F.min_by("x0", F.struct(-c("_gx"), c("x0"))).alias("_wx"), F.min_by("y0", F.struct(-c("_gy"), c("y0"))).alias("_wy"))
+        best = d.groupBy(*on).agg(F.max("_gx").alias("_mx"), F.max("_gy").alias("_my"), F.min_by("x0", F.when(c("_gx").isNotNull(), F.struct(-c("_gx"), c("x0")))).alias("_wx"), F.min_by("y0", F.when(c("_gy").isNotNull(), F.struct(-c("_gy"), c("y0")))).alias("_wy"))
         best = best.withColumn("_ax", F.when(c("_mx").isNull() & c("_my").isNull(), "-").when(c("_my").isNull() | (c("_mx") > c("_my")), "x").otherwise("y"))
         d = d.join(best, on)
         leaves = materialise(d.where("_ax = '-'").select(*boxes.columns, "leaf"))

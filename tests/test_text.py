@@ -31,7 +31,8 @@ def test_voicing(spark):
 
 
 def test_tokens(spark):
-    assert one(spark, "a_ff_b___\x01\x02", T.gt_explode("t")) == ["a", "ff", "b", "_", "_", "\\"]
+    assert one(spark, "a_ff_b___\x01\x02", T.gt_explode("t")) == ["a", "ff_b", "_", "_", "_", "\\"]  # the longest token wins
+    assert one(spark, "a_ff_bc", T.gt_explode("t")) == ["a", "ff", "b", "c"]
     df = spark.createDataFrame([(["a", "ff", "_"],)], "t array<string>")
     assert df.select(T.gt_implode("t").alias("r")).first()["r"] == "a_ff____"
     with pytest.raises(Exception, match="cannot create ground truth"):
