@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagescale.functions import boxes as B
 from pagescale.operators.blocks import Scan, islands, number_rows, scan
-from pagescale.operators.joins import TILE, box_pairs, overlap_join
+from pagescale.operators.joins import TILE, overlap_join
 from pagescale.session import materialise
 
 SALTS = 4
