@@ -15,7 +15,7 @@ from pagescale.operators.blocks import Scan, islands, number_rows, scan
 from pagescale.operators.joins import TILE, overlap_join
 from pagescale.session import materialise
 
-SALTS = 4
+SALTS = 16
 
 
 def _lookup(df: DataFrame, col: str, table: DataFrame, new: str) -> DataFrame:
@@ -35,33 +35,31 @@ def _to_roots(hop: DataFrame) -> DataFrame:
         step = hop
         for _ in range(2):
             step = _lookup(step.withColumnsRenamed({"k": "_k", "v": "_p"}), "_p", step, "_q").select(F.col("_k").alias("k"), F.col("_q").alias("v"))
-        step = materialise(step)
+        step = materialise(step, hop)
         moving = not step.select(F.col("v").alias("k")).join(step, "k", "left_semi").isEmpty()  # some end still points on
         hop = step
     return hop
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: (id, label), label the smallest id of the component.
 
     ``nodes`` has ``id`` (any orderable type, also a struct), ``edges`` u and v. Contraction:
     each vertex points to its smallest neighbour (a folded minimum, so hubs cost nothing),
     pointers are followed to their ends by doubling, edges are renamed and made distinct. The vertices that
-    still have edges shrink at least by half a round; the pointer tables of all rounds are
-    applied to the nodes in one chain of joins at the end.
+    still have edges shrink at least by half a round, so the loop ends by itself; the pointer
+    tables of all rounds are applied to the nodes in one chain of joins at the end.
     """
     e = materialise(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     labels = nodes.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
-        if e.isEmpty():
-            return labels
+    while not e.isEmpty():
         both = e.select(F.inline(F.array(F.struct(F.col("u").alias("k"), F.col("v").alias("n")), F.struct(F.col("v").alias("k"), F.col("u").alias("n")))))
         hop = both.groupBy("k").agg(F.min("n").alias("_m")).select("k", F.least("k", "_m").alias("v"))
         hop = _to_roots(materialise(hop.where("k <> v")))
         labels = _lookup(labels, "label", hop, "_n").select("id", F.col("_n").alias("label"))
-        e = _lookup(_lookup(e.withColumnsRenamed({"u": "a", "v": "b"}), "a", hop, "u").select("u", "b"), "b", hop, "w").where("u <> w")
-        e = materialise(e.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct())
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        left = _lookup(_lookup(e.withColumnsRenamed({"u": "a", "v": "b"}), "a", hop, "u").select("u", "b"), "b", hop, "w").where("u <> w")
+        e = materialise(left.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct(), e)
+    return labels
 
 
 def cell_runs(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,32 +24,41 @@ def local_session(app: str = "pagescale", cpus: str = "8", memory: str = "12g")
     return spark
 
 
-_FALLBACK: dict[str, str] = {}
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder name below the shared folder of ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a temporary folder used.
+    Where the session names none, it lies below the warehouse folder. A warehouse on a
+    machine-local path is refused on a cluster, whose executors would not see each
+    other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        app = spark.sparkContext.applicationId
-        if app not in _FALLBACK:
-            _FALLBACK[app] = tempfile.mkdtemp(prefix="pagescale-")
-        base = _FALLBACK[app]
-    return os.path.join(base, "pagescale", uuid.uuid4().hex)
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        if base.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/pagescale/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back (runs a job).
 
     A written table survives the loss of executors, and its real size is known
-    to the planner of the next round.
+    to the planner of the next round. ``done``: tables of earlier calls that nothing reads any
+    more; they are deleted once the new one is written.
     """
-    path = scratch_dir(df.sparkSession)
+    spark = df.sparkSession
+    path = scratch_dir(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    for old in done:
+        if (gone := getattr(old, "_scratch", None)) is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(gone)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
