@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagescale.llm import simhash
+from pagescale.llm import secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +29,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op1_simhash")
 def op1(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op7_secrets", secrets.check_sql())
+def op7(spark, sf):
+    found = secrets.scan_documents(table(spark, sf, "documents"))
+    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
