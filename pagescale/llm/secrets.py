@@ -54,6 +54,12 @@ def blob_id(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def _lengths(cut: Column, rank: int, r: Rule) -> Column:
+    return F.transform(cut, lambda m, k: F.struct(
+        F.lit(r.kind).alias("kind"), F.lit(rank).alias("rank"), F.lit(r.least).alias("least"), k.alias("k"),
+        F.length(m["gap"]).alias("gap"), F.length(m["match"]).alias("len"), F.length(m["value"]).alias("value")))
+
+
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob_id, kind, rank, start, end) of every match in (blob_id, text); ``rank`` is the rule's place.
 
@@ -70,10 +76,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         cut = F.arrays_zip(
             F.split("text", pattern, -1).alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("match"),
             F.regexp_extract_all("text", F.lit(pattern), F.lit(r.group)).alias("value"))
-        part = F.transform(cut, lambda m, k, rank=rank, r=r: F.struct(
-            F.lit(r.kind).alias("kind"), F.lit(rank).alias("rank"), F.lit(r.least).alias("least"), k.alias("k"),
-            F.length(m["gap"]).alias("gap"), F.length(m["match"]).alias("len"), F.length(m["value"]).alias("value")))
-        each.append(F.when(F.col("text").rlike(pattern), part))
+        each.append(F.when(F.col("text").rlike(pattern), _lengths(cut, rank, r)))
     found = blobs.select("blob_id", F.inline(F.flatten(F.array_compact(F.array(*each))))).where("len is not null")
     at = Window.partitionBy("blob_id", "rank").orderBy("k")
     out = found.withColumn("end", F.sum(F.col("gap").cast("bigint") + F.col("len")).over(at))
