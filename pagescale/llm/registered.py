@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescale.llm import secrets, simhash
+from pagescale.llm import bpe, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,3 +35,12 @@ def op1(spark, sf):
 def op7(spark, sf):
     found = secrets.scan_documents(table(spark, sf, "documents"))
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+@query("op10_byte_bpe")
+def op10(spark, sf):
+    import public_tokenizers
+
+    file = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = bpe.decode(bpe.encode(table(spark, sf, "documents"), file, public_tokenizers.PATTERN), file)
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
