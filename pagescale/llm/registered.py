@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescale.llm import bpe, secrets, simhash
+from pagescale.llm import bpe, embdedup, secrets, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +44,28 @@ def op10(spark, sf):
     file = public_tokenizers.path("byte_bpe_50k.tiktoken")
     out = bpe.decode(bpe.encode(table(spark, sf, "documents"), file, public_tokenizers.PATTERN), file)
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+TOPK_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) k from s)
+select query_id, cast(k as integer) "rank", vec_id, score from r where k <= 20"""
+
+
+@query("op3_topk", TOPK_SQL)
+def op3(spark, sf):
+    return topk.top_k(topk.quantised(table(spark, sf, "embeddings")), F.col("id") % 20 == 0)
+
+
+EMB_SQL = """with recursive u as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) v from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id a, b.vec_id b from u a join u b on a.vec_id <> b.vec_id where list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.9),
+r(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from r join l on r.b = l.a),
+n as (select a, count(*) n from l group by 1), c as (select a, min(b) c from r group by 1)
+select vec_id, coalesce(n, 0) n_links, c component_id, vec_id = c kept from embeddings join c on c.a = vec_id left join n on n.a = vec_id"""
+
+
+@query("op5_embedding_dedup", EMB_SQL)
+def op5(spark, sf):
+    return embdedup.link_duplicates(table(spark, sf, "embeddings"))
