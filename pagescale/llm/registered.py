@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescale.llm import bpe, embdedup, secrets, simhash, topk
+from pagescale.llm import bpe, embdedup, secrets, simhash, substring, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +69,19 @@ select vec_id, coalesce(n, 0) n_links, c component_id, vec_id = c kept from embe
 @query("op5_embedding_dedup", EMB_SQL)
 def op5(spark, sf):
     return embdedup.link_duplicates(table(spark, sf, "embeddings"))
+
+
+REPEATS_SQL = """with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents),
+p as (select doc_id, unnest(range(1, len(w) - 18)) s, w from d where len(w) >= 20),
+k as (select doc_id, s, md5(array_to_string(list_slice(w, s, s + 19), ' ')) h from p),
+f as (select *, row_number() over (partition by h order by doc_id, s) > 1 again from k),
+g as (select doc_id, list(distinct x) gone from (select doc_id, unnest(range(s, s + 20)) x from f where again) group by 1)
+select d.doc_id, len(w) n_words, coalesce(len(gone), 0) n_removed,
+  sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: gone is null or not list_contains(gone, i)), lambda i: w[i]), ' '), '')) kept_sha256
+from d left join g using (doc_id)"""
+
+
+@query("op9_substring_dedup", REPEATS_SQL)
+def op9(spark, sf):
+    out = substring.drop_repeats(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
