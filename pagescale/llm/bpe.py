@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 400_000  # pieces in a generation of a worker's cache
-PIECES = 20_000  # pieces of a recursive query
-SLICE = 1_000_000  # pieces or tokens handled at a time
+CACHE = 150_000  # pieces in a generation of a worker's cache
+PIECES = 10_000  # pieces of a recursive query
+SLICE = 200_000  # pieces or tokens handled at a time
 LONG = 64
 
 # A row is a token: piece w, start p, rank r, next start q, next token's rank nr. The key of a
@@ -78,7 +78,7 @@ class Codec:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in content.splitlines() if x)}
         if max(self.ranks.values()) >= 2**20:
             raise ValueError("ranks of 2^20 and more do not fit the packed keys")
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         get = self.ranks.get
         pairs = [(a * 2**20 + b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None]
         self._put("m", pair=np.array([x for x, _ in pairs], np.int64), o=np.array([x for _, x in pairs], np.int64))
@@ -87,8 +87,8 @@ class Codec:
         self.con.register("v", voc)
         self.con.execute("create table vocab as select id, hex(b) h from v")
         self.byte = np.array([get(bytes([i]), -1) for i in range(256)], np.int64)
-        self.young: dict[bytes, np.ndarray] = {}
-        self.old: dict[bytes, np.ndarray] = {}
+        self.young: dict[bytes, bytes] = {}  # ids as 32-bit integers
+        self.old: dict[bytes, bytes] = {}
 
     def _put(self, name: str, **cols) -> None:
         self.con.register(name, pa.table(cols))
@@ -98,14 +98,14 @@ class Codec:
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self._put("start", w=np.repeat(np.arange(len(pieces)), sizes), p=place, r=self.byte[flat])
-        got = self.con.execute(sql).to_arrow_table().combine_chunks()
+        got = self.con.sql(sql).to_arrow_table().combine_chunks()
         ids = got["ids"].chunk(0) if got.num_rows else pa.array([], pa.list_(pa.int64()))
         flat, ends = ids.flatten().to_numpy().astype(np.int32), np.cumsum(ids.value_lengths().to_numpy())
         for w, part in zip(got["w"].to_pylist(), np.split(flat, ends[:-1]), strict=True):
-            self.young[pieces[w]] = part.copy()
+            self.young[pieces[w]] = part.tobytes()
 
-    def learn(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each piece."""
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Token ids of each piece, as the bytes of 32-bit integers."""
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         young, old, ranks = self.young, self.old, self.ranks
@@ -115,7 +115,7 @@ class Codec:
                 if (ids := old.get(b)) is not None:
                     young[b] = ids
                 elif (rank := ranks.get(b)) is not None:
-                    young[b] = np.array([rank], np.int32)
+                    young[b] = np.int32(rank).tobytes()
                 else:
                     new.append(b)
         short = [b for b in new if len(b) <= LONG]
@@ -130,14 +130,14 @@ class Codec:
         """Ids of each row's pieces."""
         coded = lists.flatten().dictionary_encode()
         parts = self.learn([s.encode("utf-8", "surrogatepass") for s in coded.dictionary.to_pylist()])
-        size = np.array([len(x) for x in parts] + [0])
-        flat = np.concatenate([np.zeros(0, np.int32), *parts])
+        size = np.array([len(x) // 4 for x in parts] + [0])
+        flat = np.frombuffer(b"".join(parts), np.int32)
         first = np.cumsum(size) - size
         codes = coded.indices.to_numpy().astype(np.int64)
         own = size[codes]
         ends = np.cumsum(own)
         ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[codes] - (ends - own), own)]
-        rows = np.cumsum(np.r_[0, lists.value_lengths().fill_null(0).to_numpy()])
+        rows = np.cumsum(np.r_[0, lists.value_lengths().to_numpy()])
         return pa.ListArray.from_arrays(pa.array(np.r_[0, ends][rows], pa.int32()), pa.array(ids, pa.int32()))
 
     def decode(self, lists: pa.ListArray) -> list[bytes]:
@@ -168,6 +168,18 @@ def _slices(sizes: np.ndarray):
     return zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(sizes)].tolist(), strict=True) if len(sizes) else ()
 
 
+def _pieces(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
+    cut = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
+    return docs.select(F.col(id_col).alias("id"), cut.alias("pieces"))
+
+
+def _digests(ids: pa.ListArray) -> list[str]:
+    """SHA-256 of each row's ids as little-endian unsigned 32-bit integers."""
+    sizes = ids.value_lengths().to_numpy()
+    flat, ends = ids.flatten().to_numpy().astype("<u4"), np.cumsum(sizes)
+    return [hashlib.sha256(flat[e - n : e].tobytes()).hexdigest() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
 def encode(docs: DataFrame, file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the token ids of every whole text, without special tokens."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_ranks(file))
@@ -175,32 +187,40 @@ def encode(docs: DataFrame, file: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches):
         own = codec(vocabulary.value)
         for b in batches:
-            sizes = b.column(1).value_lengths().fill_null(0).to_numpy()
-            for lo, hi in _slices(sizes):
+            for lo, hi in _slices(b.column(1).value_lengths().to_numpy()):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), own.encode(b.column(1).slice(lo, hi - lo))], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    cut = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0)).alias("pieces"))
-    return cut.mapInArrow(run, f"id {kind}, ids array<int>")
+    return _pieces(docs, pattern, id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, file: str) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded) of (id, ids); the digest is over the ids as
-    little-endian unsigned 32-bit integers, ``decoded`` are the bytes."""
+    """(id, decoded): the bytes of (id, ids)."""
     vocabulary = tokens.sparkSession.sparkContext.broadcast(load_ranks(file))
 
     def run(batches):
         own = codec(vocabulary.value)
         for b in batches:
-            ids = b.column(1)
-            sizes = ids.value_lengths().fill_null(0).to_numpy()
-            for lo, hi in _slices(sizes):
-                part = ids.slice(lo, hi - lo)
-                flat, ends = part.flatten().to_numpy().astype("<u4"), np.cumsum(sizes[lo:hi])
-                digests = [hashlib.sha256(flat[e - n : e].tobytes()).hexdigest() for e, n in zip(ends.tolist(), sizes[lo:hi].tolist(), strict=True)]
+            for lo, hi in _slices(b.column(1).value_lengths().fill_null(0).to_numpy()):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(own.decode(b.column(1).slice(lo, hi - lo)), pa.binary())], ["id", "decoded"])
+
+    kind = tokens.schema["id"].dataType.simpleString()
+    return tokens.select("id", "ids").mapInArrow(run, f"id {kind}, decoded binary")
+
+
+def round_trip(docs: DataFrame, file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded): ``encode`` and ``decode`` in one worker, for
+    audits that need no ids; tokens do not travel between the two."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(load_ranks(file))
+
+    def run(batches):
+        own = codec(vocabulary.value)
+        for b in batches:
+            for lo, hi in _slices(b.column(1).value_lengths().to_numpy()):
+                ids = own.encode(b.column(1).slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(sizes[lo:hi], pa.int64()), pa.array(digests), pa.array(own.decode(part), pa.binary())],
+                    [b.column(0).slice(lo, hi - lo), ids.value_lengths().cast(pa.int64()), pa.array(_digests(ids), pa.string()), pa.array(own.decode(ids), pa.binary())],
                     ["id", "n_tokens", "ids_sha256", "decoded"])
 
-    kind = tokens.schema["id"].dataType.simpleString()
-    return tokens.select("id", "ids").mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded binary")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _pieces(docs, pattern, id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded binary")

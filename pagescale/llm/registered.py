@@ -42,7 +42,7 @@ def op10(spark, sf):
     import public_tokenizers
 
     file = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe.decode(bpe.encode(table(spark, sf, "documents"), file, public_tokenizers.PATTERN), file)
+    out = bpe.round_trip(table(spark, sf, "documents"), file, public_tokenizers.PATTERN)
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
