@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescale.llm import bpe, embdedup, secrets, simhash, substring, topk
+from pagescale.llm import bpe, embdedup, langid, quality, secrets, simhash, substring, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +85,22 @@ from d left join g using (doc_id)"""
 def op9(spark, sf):
     out = substring.drop_repeats(table(spark, sf, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_langid")
+def op2(spark, sf):
+    out = langid.identify(table(spark, sf, "documents"))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def grades(spark, sf):
+    """Graded ratings: 0 toxic, 1 poor, 2 good."""
+    rated = table(spark, sf, "labels")
+    return rated.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
+
+
+@query("op4_quality")
+def op4(spark, sf):
+    out = quality.rate(table(spark, sf, "documents"), grades(spark, sf))
+    tails = [F.coalesce(F.col(c), F.lit(0.0)) if c in out.columns else F.lit(0.0) for c in ("p_ge_1", "p_ge_2")]
+    return out.select("doc_id", "expected_grade", tails[0].alias("p_ge_1"), tails[1].alias("p_ge_2"), (tails[0] >= 0.5).alias("kept"))
