@@ -132,19 +132,22 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, label: Column,
     return got["label"].to_pylist(), [(f[a:b], c[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def inverse_frequency(rows: list[Counts], dim: int) -> np.ndarray:
+def inverse_frequency(rows: list[Counts], dim: int, least: float = 0.0) -> np.ndarray:
+    """Inverse document frequencies; 0 for features in fewer than the share ``least`` of the rows."""
     df = np.zeros(dim)
     for f, _ in rows:
         df[f] += 1
-    return np.log((1 + len(rows)) / (1 + df)) + 1
+    return np.where(df >= least * len(rows), np.log((1 + len(rows)) / (1 + df)) + (least == 0), 0.0)
 
 
-def weigh(row: Counts, idf: np.ndarray) -> Counts:
-    """TF-IDF (1 + log count) of length 1."""
+def weigh(row: Counts, idf: np.ndarray, length: float = 1.0) -> Counts:
+    """TF-IDF (1 + log count) of the given length, without features of weight 0."""
     f, c = row
-    v = (1 + np.log(np.maximum(c, 1))) * idf[f]
+    used = idf[f] > 0
+    f = f[used]
+    v = (1 + np.log(np.maximum(c[used], 1))) * idf[f]
     size = np.sqrt((v * v).sum())
-    return f, v / size if size else v
+    return f, v * length / size if size else v
 
 
 def softmax(s: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@
 One vector of hashed-text weights w is shared by all grades, ordered thresholds part them:
 P(grade <= k) = sigmoid(theta_k - w.x). A text gets its expected grade and the tail
 probabilities P(grade >= k), on which selections are made. Thresholds are kept in order by
-positive gaps. Fitted with adaptive gradient steps on a bounded sample (``PER_GRADE`` whole
+positive gaps. Fitted with full gradient steps on a bounded sample (``PER_GRADE`` whole
 texts of each grade); all texts are scored.
 
 Defined cases: a null or blank text has no features and gets what the thresholds alone say; null grades
@@ -22,6 +22,8 @@ from pagescale.llm import linear
 
 DIM = 2**18
 PER_GRADE = 4000  # rated texts of each grade that are learned from
+COMMON = 0.01  # features in a smaller share of the sample are not used: they only name single texts
+LENGTH = 4.0  # of a feature vector
 
 
 @dataclass
@@ -33,7 +35,7 @@ class Model:
 
     def tails(self, row: linear.Counts) -> np.ndarray:
         """P(grade >= k) for the second grade on."""
-        f, v = linear.weigh(row, self.idf)
+        f, v = linear.weigh(row, self.idf, LENGTH)
         return _sigmoid(v @ self.weights[f] - self.theta)
 
 
@@ -41,49 +43,48 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[linear.Counts], y: np.ndarray, grades: int, epochs: int = 12, rate: float = 0.4, l2: float = 1e-5, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds. Rows of a grade weigh by the inverse root of its size, so rare grades count."""
-    w, seen = np.zeros(DIM), np.full(DIM, 1e-3)
-    share = np.cumsum(np.bincount(y, minlength=grades))[:-1] / len(y)
-    logit = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
-    free = np.r_[logit[0], np.log(np.maximum(np.diff(logit), 1e-2))]
-    seen_t = np.full(len(free), 1e-3)
-    rare = np.sqrt(len(y) / grades / np.maximum(np.bincount(y, minlength=grades), 1))
-    rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            f, v = rows[i]
-            gaps = np.exp(free[1:])
-            theta = np.cumsum(np.r_[free[0], gaps])
-            s, k = v @ w[f], y[i]
-            hi = _sigmoid(theta[k] - s) if k < grades - 1 else 1.0
-            lo = _sigmoid(theta[k - 1] - s) if k else 0.0
-            p = max(hi - lo, 1e-9)
-            dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-            c = rare[k]
-            gw = c * (dhi - dlo) / p * v + l2 * w[f]
-            seen[f] += gw * gw
-            w[f] -= rate * gw / np.sqrt(seen[f])
-            gt = np.zeros(grades - 1)
-            if k < grades - 1:
-                gt[k] -= c * dhi / p
-            if k:
-                gt[k - 1] += c * dlo / p
-            back = np.cumsum(gt[::-1])[::-1]  # theta_k holds the first threshold and all gaps up to k
-            gf = np.r_[back[0], back[1:] * gaps]
-            seen_t += gf * gf
-            free -= 0.1 * gf / np.sqrt(seen_t)
-    return w, np.cumsum(np.r_[free[0], np.exp(free[1:])])
+def fit(rows: list[linear.Counts], y: np.ndarray, grades: int, steps: int = 300, rate: float = 0.05, l2: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by full-batch gradient steps with moment estimates. Rows of a
+    grade weigh by the inverse root of its size, so rare grades count."""
+    f, v = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    cols, at = np.unique(f, return_inverse=True)
+    n, k, inner = len(rows), len(cols), grades - 1
+    c = np.sqrt(n / grades / np.maximum(np.bincount(y, minlength=grades), 1))[y]
+    c /= c.sum()
+    share = np.cumsum(np.bincount(y, weights=c, minlength=grades))[:-1]
+    logit = np.log(share / (1 - share))
+    p = np.r_[np.zeros(k), logit[0], np.log(np.maximum(np.diff(logit), 1e-2))]  # weights, first threshold, log gaps
+    mean, square = np.zeros_like(p), np.zeros_like(p)
+    top, low = np.minimum(y, inner - 1), np.maximum(y - 1, 0)
+    for t in range(1, steps + 1):
+        gaps = np.exp(p[k + 1 :])
+        theta = np.cumsum(np.r_[p[k], gaps])
+        s = np.bincount(row, v * p[:k][at], n)
+        hi = np.where(y < inner, _sigmoid(theta[top] - s), 1.0)
+        lo = np.where(y > 0, _sigmoid(theta[low] - s), 0.0)
+        prob = np.maximum(hi - lo, 1e-9)
+        dhi, dlo = hi * (1 - hi), lo * (1 - lo)
+        g_w = np.bincount(at, v * (c * (dhi - dlo) / prob)[row], k) + l2 * p[:k]
+        g_t = np.bincount(top, np.where(y < inner, -c * dhi / prob, 0), inner) + np.bincount(low, np.where(y > 0, c * dlo / prob, 0), inner)
+        back = np.cumsum(g_t[::-1])[::-1]  # a threshold holds the first one and all gaps up to it
+        g = np.r_[g_w, back[0], back[1:] * gaps]
+        mean = 0.9 * mean + 0.1 * g
+        square = 0.99 * square + 0.01 * g * g
+        p -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+    w = np.zeros(DIM)
+    w[cols] = p[:k]
+    return w, np.cumsum(np.r_[p[k], np.exp(p[k + 1 :])])
 
 
 def train(docs: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", per_grade: int = PER_GRADE) -> Model:
     labels, rows = linear.labelled_sample(docs, id_col, text_col, grade.cast("int"), per_grade, linear.WordFeatures(DIM))
     grades = sorted(set(labels))
     y = np.array([grades.index(x) for x in labels], int)
-    idf = linear.inverse_frequency(rows, DIM)
+    idf = linear.inverse_frequency(rows, DIM, COMMON)
     if len(grades) < 2:
         return Model(grades, np.zeros(DIM, np.float32), np.zeros(0), idf.astype(np.float32))
-    w, theta = fit([linear.weigh(r, idf) for r in rows], y, len(grades))
+    w, theta = fit([linear.weigh(r, idf, LENGTH) for r in rows], y, len(grades))
     return Model(grades, w.astype(np.float32), theta, idf.astype(np.float32))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescale.llm import bpe, embdedup, langid, quality, secrets, simhash, substring, topk
+from pagescale.llm import bpe, embdedup, langid, licenses, mixing, quality, secrets, simhash, substring, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,3 +104,24 @@ def op4(spark, sf):
     out = quality.rate(table(spark, sf, "documents"), grades(spark, sf))
     tails = [F.coalesce(F.col(c), F.lit(0.0)) if c in out.columns else F.lit(0.0) for c in ("p_ge_1", "p_ge_2")]
     return out.select("doc_id", "expected_grade", tails[0].alias("p_ge_1"), tails[1].alias("p_ge_2"), (tails[0] >= 0.5).alias("kept"))
+
+
+#: Target shares of the expected tokens of each domain.
+DOMAINS = {"good": 0.85, "poor": 0.14, "toxic": 0.01}
+
+
+def domains(spark, sf):
+    rated = table(spark, sf, "labels")
+    return rated.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good").alias("domain"))
+
+
+@query("op6_mixing")
+def op6(spark, sf):
+    out, fit = mixing.mix(table(spark, sf, "documents"), domains(spark, sf), DOMAINS)
+    p = [F.coalesce(F.get("posteriors", F.lit(fit.domains.index(d))), F.lit(0.0)).alias(f"p_{d}") if d in fit.domains else F.lit(0.0).alias(f"p_{d}") for d in DOMAINS]
+    return out.select("doc_id", "tokens", *p, "rate")
+
+
+@query("op8_licenses", licenses.check_sql())
+def op8(spark, sf):
+    return licenses.best_license(table(spark, sf, "documents"))
