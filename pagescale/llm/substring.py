@@ -10,8 +10,9 @@ What can repeat is found first, so that only that is sent to shards. Each window
 the leftmost smallest hash among its runs of ``GRAM`` words. Equal windows name equal anchors at
 equal offsets, and about every eighth word is one. Anchors that occur once cannot belong to
 a repeated window. Around each other anchor the words that its windows can reach form a region;
-equal regions are folded to their first place, and all regions of an anchor go to one shard.
-So no two equal windows are parted, and one of a hundred thousand copies of a passage is worked on.
+equal regions are folded to their first place (later ones go as a whole), and the different
+regions of an anchor go to one shard. So no two equal windows are parted, one of a hundred thousand
+copies of a passage is worked on, and only regions that must be compared travel as text.
 The automata are built where their shard lands, not broadcast: the repeated text of a corpus has no size bound.
 
 An anchor with more than ``HOT`` different regions (a common phrase in ever new surroundings)
@@ -21,15 +22,13 @@ which fold to their first place in an aggregation.
 Words and regions are compared by their text inside a shard, by 128 bits of hash (anchor and region)
 when equal regions are folded.
 
-Defined cases: a null or blank text has no words; rows with a null id take no part and lose
-nothing; repeated rows (same id and text) stand at the same place, so neither is earlier;
+Defined cases: a null or blank text has no words; rows with a null id, and rows of an id that has
+different texts, take no part and lose nothing; repeated rows (same id and text) stand at the same place, so neither is earlier;
 an empty table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -154,43 +153,48 @@ def _shard(rows: list[tuple], window: int) -> list[int]:
     return out
 
 
+def _region(words: list[bytes], pos: int, window: int) -> tuple[int, bytes]:
+    """Start and words of what the windows of an anchor can reach."""
+    lo = max(0, pos - (window - GRAM))
+    return lo, b" ".join(words[lo : pos + window])
+
+
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(gram, id, tid, pos); tid tells texts of one id apart."""
+    """(gram, key, id, pos); key is a hash of the region and of the anchor's place in it."""
     def run(batches):
         for b in batches:
-            ids, tids, pos, grams = [], [], [], []
-            for i, tid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                at, g = anchors(split_words(text.as_py()), window)
+            ids, pos, grams, keys = [], [], [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = split_words(text.as_py())
+                at, g = anchors(words, window)
                 ids.append(np.full(len(at), i, np.int64))
-                tids.append(np.full(len(at), tid, np.int64))
                 pos.append(at)
                 grams.append(g)
+                for p in at.tolist():
+                    lo, own = _region(words, p, window)
+                    keys.append(xxhash.xxh64_intdigest(own, p - lo))
             if ids:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(tids)), pa.array(np.concatenate(pos).astype(np.int32))], ["gram", "id", "tid", "pos"])
+                    [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(pos).astype(np.int32))], ["gram", "key", "id", "pos"])
 
-    return docs.where("id is not null").select("id", "tid", "text").mapInArrow(run, "gram bigint, id bigint, tid bigint, pos int")
+    return docs.where("id is not null").select("id", "text").mapInArrow(run, "gram bigint, key bigint, id bigint, pos int")
 
 
 def _regions(marked: DataFrame, window: int) -> DataFrame:
-    """(gram, key, id, tid, start, text) around each marked anchor of (id, tid, text, marks)."""
-    reach = window - GRAM
-
+    """(gram, key, first, text) of the regions that ``marks`` name in (id, text, marks)."""
     def run(batches):
         for b in batches:
-            for i, tid, text, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            out = []
+            for i, text, marks in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 words = split_words(text.as_py())
-                out = []
-                for m in marks.as_py():
-                    p = m["pos"]
-                    lo = max(0, p - reach)
-                    own = b" ".join(words[lo : p + window])
-                    out.append((m["gram"], xxhash.xxh64_intdigest(own, p - lo) - 2**63, i, tid, lo, own.decode("utf-8", "surrogatepass")))
-                gram, key, ids, tids, start, texts = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram, pa.int64()), pa.array(key, pa.int64()), pa.array(ids, pa.int64()), pa.array(tids, pa.int64()), pa.array(start, pa.int32()), pa.array(texts)], ["gram", "key", "id", "tid", "start", "text"])
+                for m in marks:
+                    lo, own = _region(words, m["pos"], window)
+                    out.append((m["gram"], m["key"], {"id": i, "start": lo}, own.decode("utf-8", "surrogatepass")))
+            gram, key, first, texts = zip(*out, strict=True) if out else ((), (), (), ())
+            kind = pa.struct([("id", pa.int64()), ("start", pa.int32())])
+            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(key, pa.int64()), pa.array(first, kind), pa.array(texts, pa.string())], ["gram", "key", "first", "text"])
 
-    return marked.select("id", "tid", "text", "marks").mapInArrow(run, "gram bigint, key bigint, id bigint, tid bigint, start int, text string")
+    return marked.select("id", "text", "marks").mapInArrow(run, "gram bigint, key bigint, first struct<id: bigint, start: int>, text string")
 
 
 def _judge(regions: DataFrame, window: int) -> DataFrame:
@@ -220,6 +224,7 @@ def _judge(regions: DataFrame, window: int) -> DataFrame:
 def _judge_windows(regions: DataFrame, window: int) -> DataFrame:
     """The same for anchors with very many regions: each window folds to its first place."""
     w = F.split("text", " ")
+    regions = _written(regions)
     each = regions.select("gram", "key", "first", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda t: F.array_join(F.slice(w, t + 1, window), " "))).alias("t", "own"))
     each = each.select("gram", "key", "t", F.xxhash64("own").alias("h"), F.crc32("own").alias("h2"), F.struct(F.col("first.id").alias("id"), (F.col("first.start") + F.col("t")).alias("start")).alias("at"))
     least = each.groupBy("gram", "h", "h2").agg(F.min("at").alias("least"))
@@ -236,10 +241,17 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
                 words = split_words(text.as_py())
                 edge = np.zeros(len(words) + 1, np.int64)
                 for c in cut or ():
-                    for t in range(int(c["bits"]).bit_length()):
+                    lo = c["start"]
+                    if c["bits"] < 0:  # every window of the region
+                        hi = min(c["pos"] + window, len(words))
+                        if hi - lo >= window:
+                            edge[lo] += 1
+                            edge[hi] -= 1
+                        continue
+                    for t in range(c["bits"].bit_length()):
                         if c["bits"] >> t & 1:
-                            edge[c["start"] + t] += 1
-                            edge[c["start"] + t + window] -= 1
+                            edge[lo + t] += 1
+                            edge[lo + t + window] -= 1
                 stays = np.cumsum(edge[:-1]) == 0
                 total.append(len(words))
                 gone.append(len(words) - int(stays.sum()))
@@ -249,28 +261,46 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("id", "text", "cut").mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept binary")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``materialise``, then let the driver drop what is done, so that its shuffle files go
+    before the next step writes its own."""
+    out = materialise(df)
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def drop_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id, n_words, n_removed, kept); ``kept`` are the UTF-8 bytes of the
     words that stay, joined by one space."""
     if not GRAM < window <= 60:
         raise ValueError("window must be 6 to 60 words")
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.withColumn("tid", F.xxhash64("text"))
-    rows = _anchor_rows(texts, window)
+    named = texts.where("id is not null")
+    mixed = materialise(named.select("id", F.xxhash64("text").alias("h")).groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("id"))
+    if not mixed.isEmpty():
+        named = named.join(mixed, "id", "left_anti")
+    rows = _anchor_rows(named, window)
     again = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    marks = rows.join(again, "gram").groupBy("id", "tid").agg(F.collect_list(F.struct("pos", "gram")).alias("marks"))
-    marked = texts.join(materialise(marks).hint("shuffle_hash"), ["id", "tid"])
-    regions = materialise(_regions(marked, window))
-    place = F.min(F.struct("id", "start")).alias("first")
-    different = materialise(regions.groupBy("gram", "key").agg(place, F.max("text").alias("text")))
-    hot = materialise(different.groupBy("gram").count().where(F.col("count") > HOT).select("gram"))
-    judged = _judge(different.join(hot, "gram", "left_anti"), window)
-    if not hot.isEmpty():
-        judged = judged.unionByName(_judge_windows(different.join(hot, "gram", "left_semi"), window))
-    found = different.select("gram", "key", "first").join(judged, ["gram", "key"])
-    each = regions.select("gram", "key", "id", "tid", "start", F.size(F.split("text", " ")).alias("n")).join(found, ["gram", "key"])
-    is_first = (F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))
-    every = F.expr(f"shiftleft(1L, n - {window - 1}) - 1")
-    cut = each.select("id", "tid", "start", F.when(is_first, F.col("bits")).otherwise(every).alias("bits")).where("bits <> 0")
-    cut = materialise(cut.groupBy("id", "tid").agg(F.collect_list(F.struct("start", "bits")).alias("cut")))
-    return _kept(texts.join(cut.hint("shuffle_hash"), ["id", "tid"], "left"), window).withColumnRenamed("id", id_col)
+    places = _written(rows.join(again, "gram"))
+    different = _written(places.groupBy("gram", "key").agg(F.min(F.struct("id", "pos")).alias("first")).select("gram", "key", "first.id", "first.pos"))
+    # an anchor with a single region needs no automaton: its first place stays, the others go
+    several = different.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    marks = different.join(several, "gram").select("id", F.struct("pos", "gram", "key").alias("m"), (F.col("n") > HOT).alias("hot"))
+    regions = []
+    for part in (~F.col("hot"), F.col("hot")):
+        own = _written(marks.where(part).groupBy("id").agg(F.collect_list("m").alias("marks")))
+        regions.append(_regions(named.join(own.hint("shuffle_hash"), "id"), window) if not own.isEmpty() else None)
+    judged = spark.createDataFrame([], "gram bigint, key bigint, bits bigint")
+    for found, judge in zip(regions, (_judge, _judge_windows), strict=True):
+        if found is not None:
+            judged = judged.unionByName(_written(judge(found, window)))
+    reach = window - GRAM
+    found = different.join(judged, ["gram", "key"], "left").select("gram", "key", F.struct("id", "pos").alias("first"), F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+    each = places.join(found, ["gram", "key"])
+    # all windows of a region that stands elsewhere before start earlier; a text's end can cut the region, its words tell
+    bits = F.when(F.struct("id", "pos") == F.col("first"), F.col("bits")).otherwise(F.lit(-1).cast("bigint"))
+    cut = each.select("id", F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), "pos", bits.alias("bits")).where("bits <> 0")
+    cut = materialise(cut.groupBy("id").agg(F.collect_list(F.struct("start", "pos", "bits")).alias("cut")), places, different)
+    out = texts.join(cut.hint("shuffle_hash"), "id", "left")
+    return _kept(out, window).withColumnRenamed("id", id_col)
