@@ -11,7 +11,7 @@ domains, however small, move at the same speed:
 A document's rate follows from its posteriors and the few vectors of the steps so far, so a
 step is one aggregation over the table of posteriors (a row of as many sums as domains goes to the
 driver) and no table of rates is ever rewritten or lost. Steps end when the residual is below
-``TOLERANCE`` of the budget or no longer falls (targets that no rates reach).
+``TOLERANCE`` of the budget in every domain, or falls by less than ``FALL`` (targets that no rates reach).
 
 Defined cases: null or blank texts have 0 tokens and the classifier's prior; null labels and ids are not
 learned from; a target for a domain that no label names cannot be met and is left as residual;
@@ -35,7 +35,8 @@ from pagescale.session import materialise
 DIM = 2**18
 PER_DOMAIN = 3000  # labelled texts of each domain that are learned from
 COMMON = 0.005  # features in a smaller share of the sample are not used
-TOLERANCE = 1e-6
+TOLERANCE = 1e-3  # of the budget, for each domain
+FALL = 0.02  # least relative fall of the squared residual in a step
 
 
 @dataclass
@@ -139,7 +140,7 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], b
     while True:
         gap = (fit.reached - fit.target) / total
         size = float(gap @ whiten @ gap)
-        if np.abs(gap).max() * total <= TOLERANCE * budget or size > last * (1 - 1e-4):
+        if np.abs(gap).max() * total <= TOLERANCE * budget or size > last * (1 - FALL):
             return fit
         last = size
         fit.steps.append(whiten @ gap)

@@ -107,7 +107,7 @@ def op4(spark, sf):
 
 
 #: Target shares of the expected tokens of each domain.
-DOMAINS = {"good": 0.85, "poor": 0.14, "toxic": 0.01}
+DOMAINS = {"good": 0.83, "poor": 0.14, "toxic": 0.03}
 
 
 def domains(spark, sf):
