@@ -173,11 +173,11 @@ def _pieces(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFr
     return docs.select(F.col(id_col).alias("id"), cut.alias("pieces"))
 
 
-def _digests(ids: pa.ListArray) -> list[str]:
-    """SHA-256 of each row's ids as little-endian unsigned 32-bit integers."""
+def _packed(ids: pa.ListArray) -> list[bytes]:
+    """Each row's ids as little-endian unsigned 32-bit integers."""
     sizes = ids.value_lengths().to_numpy()
     flat, ends = ids.flatten().to_numpy().astype("<u4"), np.cumsum(sizes)
-    return [hashlib.sha256(flat[e - n : e].tobytes()).hexdigest() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    return [flat[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 def encode(docs: DataFrame, file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,9 +208,10 @@ def decode(tokens: DataFrame, file: str) -> DataFrame:
     return tokens.select("id", "ids").mapInArrow(run, f"id {kind}, decoded binary")
 
 
-def round_trip(docs: DataFrame, file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded): ``encode`` and ``decode`` in one worker, for
-    audits that need no ids; tokens do not travel between the two."""
+def round_trip(docs: DataFrame, file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded): ``encode`` and ``decode`` in one worker; tokens do
+    not travel between the two. ``with_ids`` adds ``ids``, little-endian unsigned 32-bit integers."""
+    names = ["id", "n_tokens", "ids_sha256", "decoded"] + ["ids"] * with_ids
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_ranks(file))
 
     def run(batches):
@@ -218,9 +219,9 @@ def round_trip(docs: DataFrame, file: str, pattern: str, id_col: str = "doc_id",
         for b in batches:
             for lo, hi in _slices(b.column(1).value_lengths().to_numpy()):
                 ids = own.encode(b.column(1).slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), ids.value_lengths().cast(pa.int64()), pa.array(_digests(ids), pa.string()), pa.array(own.decode(ids), pa.binary())],
-                    ["id", "n_tokens", "ids_sha256", "decoded"])
+                packed = _packed(ids)
+                cols = [b.column(0).slice(lo, hi - lo), ids.value_lengths().cast(pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()), pa.array(own.decode(ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(packed, pa.binary())] * with_ids, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _pieces(docs, pattern, id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded binary")
+    return _pieces(docs, pattern, id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded binary" + ", ids binary" * with_ids)

@@ -141,16 +141,26 @@ def scan_documents(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule
     return digest(paths, findings, rules)
 
 
-def redact(text: Column, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> Column:
-    """The text without what the rules find: each rule's long values become ``mask``."""
-    for r in rules:
-        if r.group:
-            head, _, tail = r.pattern.rpartition("([")
-            text = F.regexp_replace(text, f"({head})([{tail[:-2]}{{{r.least},}})", f"$1{mask}")
-        else:
-            known = len(r.pattern.partition("[")[0])
-            text = F.regexp_replace(text, f"{r.pattern[:-1]}{{{r.least - known},}}", mask)
-    return text
+def redact(docs: DataFrame, paths: DataFrame, findings: DataFrame, path_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
+    """``docs`` with every span found in a text replaced by ``mask``; spans that overlap become one.
+
+    Texts meet their spans by path; a path whose rows have different texts gets each row's own
+    spans, as the blob is compared too. Texts without findings pass unchanged.
+    """
+    spans = findings.groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    hit = paths.join(spans, "blob_id").select(F.col("path").alias("_path"), F.col("blob_id").alias("_blob"), "_spans").dropDuplicates(["_path", "_blob"])
+    text = F.col(text_col)
+    at = docs.withColumn("_id", blob_id(text.cast("string")))
+    both = at.join(hit.hint("shuffle_hash"), at[path_col].eqNullSafe(hit["_path"]) & (at["_id"] == hit["_blob"]), "left")
+    none = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+
+    def step(acc, s):
+        fresh = s["start"] >= acc["at"]  # a span that begins inside the one before adds nothing but its end
+        kept = F.concat(acc["out"], text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))
+        return F.struct(F.when(fresh, kept).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    cut = F.aggregate("_spans", none, step, lambda acc: F.concat(acc["out"], text.substr((acc["at"] + 1).cast("int"), F.length(text))))
+    return both.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(cut)).select(docs.columns)
 
 
 def check_sql() -> str:
