@@ -119,6 +119,7 @@ class Forest:
 
 def _links(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges between rows of equal ``group`` (neighbours, whole groups only)."""
+    fp = fp.view(np.uint64)  # of signed numbers bitwise_count takes the absolute value
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     size = np.repeat(sizes, sizes)
