@@ -261,10 +261,10 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("id", "text", "cut").mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept binary")
 
 
-def _written(df: DataFrame) -> DataFrame:
+def _written(df: DataFrame, *done: DataFrame) -> DataFrame:
     """``materialise``, then let the driver drop what is done, so that its shuffle files go
     before the next step writes its own."""
-    out = materialise(df)
+    out = materialise(df, *done)
     df.sparkSession._jvm.System.gc()
     return out
 
@@ -280,9 +280,9 @@ def drop_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
     mixed = materialise(named.select("id", F.xxhash64("text").alias("h")).groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("id"))
     if not mixed.isEmpty():
         named = named.join(mixed, "id", "left_anti")
-    rows = _anchor_rows(named, window)
+    rows = _written(_anchor_rows(named, window))
     again = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    places = _written(rows.join(again, "gram"))
+    places = _written(rows.join(again, "gram"), rows)
     different = _written(places.groupBy("gram", "key").agg(F.min(F.struct("id", "pos")).alias("first")).select("gram", "key", "first.id", "first.pos"))
     # an anchor with a single region needs no automaton: its first place stays, the others go
     several = different.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
