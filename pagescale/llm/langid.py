@@ -50,7 +50,7 @@ def train(docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str
     apart = np.random.default_rng(3).random(len(rows)) < 0.2
     fit = np.flatnonzero(~apart)
     w, b = linear.ftrl([rows[i] for i in fit], y[fit], len(classes), DIM)
-    scores = np.array([rows[i][1] @ w[rows[i][0]] + b for i in np.flatnonzero(apart)]).reshape(-1, len(classes))
+    scores = np.array([rows[i][1] @ w[rows[i][0]] + b for i in np.flatnonzero(apart)]).reshape(int(apart.sum()), len(classes))
     return Model(classes, w.astype(np.float32), b, idf.astype(np.float32), linear.temperature(scores, y[apart]))
 
 

@@ -81,7 +81,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", tex
     apart = np.random.default_rng(3).random(len(rows)) < 0.2
     fit = np.flatnonzero(~apart)
     w, b = linear.ftrl([rows[i] for i in fit], y[fit], len(domains), DIM, alpha=0.1, l1=0.3, l2=1.0)
-    scores = np.array([rows[i][1] @ w[rows[i][0]] + b for i in np.flatnonzero(apart)]).reshape(-1, len(domains))
+    scores = np.array([rows[i][1] @ w[rows[i][0]] + b for i in np.flatnonzero(apart)]).reshape(int(apart.sum()), len(domains))
     return Classifier(domains, w.astype(np.float32), b, idf.astype(np.float32), linear.temperature(scores, y[apart]))
 
 
