@@ -40,7 +40,7 @@ class Model:
 
 def train(docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model:
     features = linear.CharFeatures(DIM)
-    labels, rows = linear.labelled_sample(docs, id_col, text_col, label.cast("string"), per_language, features)
+    labels, rows = linear.labelled_sample(docs, id_col, text_col, docs.select(F.col(id_col).alias("id"), label.cast("string").alias("label")), per_language, features)
     some = [i for i, r in enumerate(rows) if len(r[0])]
     labels, rows = [labels[i] for i in some], [rows[i] for i in some]
     classes = sorted(set(labels))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,9 +106,10 @@ def _count(feats: np.ndarray, dim: int) -> Counts:
     return at, c[at]
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, label: Column, per_class: int, features: Callable[[str | None], Counts]) -> tuple[list, list[Counts]]:
-    """Labels and counts of at most ``per_class`` rows of each non-null label."""
-    ids = docs.select(F.col(id_col).alias("id"), label.alias("label")).where("id is not null and label is not null").distinct()
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, per_class: int, features: Callable[[str | None], Counts]) -> tuple[list, list[Counts]]:
+    """Labels and counts of at most ``per_class`` rows of each non-null label of ``labels`` (id,
+    label). Ids are picked first, without texts; the texts then meet a bounded broadcast."""
+    ids = labels.where("id is not null and label is not null").distinct().join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     picked = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_class).drop("k")
 

@@ -72,8 +72,8 @@ class Classifier:
 
 def classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_domain: int = PER_DOMAIN) -> Classifier:
     """Learned from the texts whose id has a ``domain`` in ``labelled``; a fifth of the sample sets the temperature."""
-    known = docs.select(id_col, text_col).join(labelled.select(id_col, "domain"), id_col)
-    labels, rows = linear.labelled_sample(known, id_col, text_col, known["domain"].cast("string"), per_domain, linear.WordFeatures(DIM))
+    known = labelled.select(F.col(id_col).alias("id"), F.col("domain").cast("string").alias("label"))
+    labels, rows = linear.labelled_sample(docs, id_col, text_col, known, per_domain, linear.WordFeatures(DIM))
     domains = sorted(set(labels))
     y = np.array([domains.index(x) for x in labels], int)
     idf = linear.inverse_frequency(rows, DIM, COMMON)

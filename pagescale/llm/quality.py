@@ -16,7 +16,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagescale.llm import linear
 
@@ -77,8 +78,10 @@ def fit(rows: list[linear.Counts], y: np.ndarray, grades: int, steps: int = 300,
     return w, np.cumsum(np.r_[p[k], np.exp(p[k + 1 :])])
 
 
-def train(docs: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", per_grade: int = PER_GRADE) -> Model:
-    labels, rows = linear.labelled_sample(docs, id_col, text_col, grade.cast("int"), per_grade, linear.WordFeatures(DIM))
+def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_grade: int = PER_GRADE) -> Model:
+    """Learned from the texts whose id has a ``grade`` in ``graded``."""
+    known = graded.select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("label"))
+    labels, rows = linear.labelled_sample(docs, id_col, text_col, known, per_grade, linear.WordFeatures(DIM))
     grades = sorted(set(labels))
     y = np.array([grades.index(x) for x in labels], int)
     idf = linear.inverse_frequency(rows, DIM, COMMON)
@@ -110,5 +113,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def rate(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``score`` of all documents by a model of the ``graded`` ones (id, grade)."""
-    known = docs.select(id_col, text_col).join(graded.select(id_col, "grade"), id_col)
-    return score(docs, train(known, known["grade"], id_col, text_col), text_col)
+    return score(docs, train(docs, graded, id_col, text_col), text_col)
