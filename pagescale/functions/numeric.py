@@ -121,8 +121,8 @@ def take_every(df: DataFrame, keys, order, block, k: int, skip: bool = False) ->
 
 
 def frange(lo, hi, step) -> Column:
-    """Array of lo, lo + step, ... below hi (above it for a negative step)."""
-    lo, hi, step = F.lit(float(lo)), F.lit(float(hi)), float(step)
+    """Array of lo, lo + step, ... below hi (above it for a negative step); numbers or columns."""
+    lo, hi, step = (x.cast("double") if isinstance(x, Column) else F.lit(float(x)) for x in (lo, hi, step))
     n = F.ceil((hi - lo) / step)
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: lo + i * step)) \
         .otherwise(F.array().cast("array<double>"))

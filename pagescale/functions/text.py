@@ -258,7 +258,7 @@ def encode_ligatures(df: DataFrame, col: str, keep: list[str], table: DataFrame
     size, so broadcasting it is safe."""
     table = ligature_table(df.sparkSession) if table is None else table
     toks = df.select(*keep, F.posexplode(F.regexp_extract_all(col, F.lit(token), F.lit(0))).alias("pos", "token"))
-    return toks.join(F.broadcast(table), F.col("token") == F.col("name"), "left").select(
+    return toks.join(table, F.col("token") == F.col("name"), "left").select(
         *keep, "pos", "token", F.coalesce("code", F.ascii("token").cast("bigint")).alias("code"))
 
 
@@ -270,7 +270,7 @@ def decode_ligatures(df: DataFrame, keep: list[str], table: DataFrame | None = N
     code = F.col("code")
     # Names of the control codes.
     control = F.when(code == 0, "").when(code == 2, "<RHO>").when(code == 3, "<SIG>").when(code == 4, "<PHI>")
-    return df.join(F.broadcast(names), "code", "left").select(
+    return df.join(names, "code", "left").select(
         *keep, "code", F.coalesce(F.when(code < 0, F.lit("~")), control, F.col("name"),
                                   F.when(code < 0x10000, char_of(F.greatest(code, F.lit(0))))).alias("name"))
 
@@ -335,6 +335,6 @@ def jis_to_unicode(df: DataFrame, code: str, extra: DataFrame | None = None) ->
     plane = F.broadcast(jis_table(df.sparkSession))
     out = df.withColumn("_j", F.lower(code)).join(plane.withColumnRenamed("jis", "_j"), "_j", "left")
     if extra is not None:
-        out = out.join(F.broadcast(extra.select(F.lower("jis").alias("_j"), F.col("ch").alias("_x"))), "_j", "left") \
+        out = out.join(extra.select(F.lower("jis").alias("_j"), F.col("ch").alias("_x")), "_j", "left") \
             .withColumn("ch", F.coalesce("ch", "_x")).drop("_x")
     return out.withColumn("ch", F.coalesce("ch", F.lit(""))).drop("_j")

@@ -180,18 +180,18 @@ def clean_round(diffs: DataFrame, mode: str, edit_cost: int = 4) -> DataFrame:
     return merge_diff(j.select(*PAIR, "seq", ops, "text"))
 
 
-def clean_diff(diffs: DataFrame, mode: str, edit_cost: int = 4, rounds: int = 20) -> DataFrame:
-    """Rounds until the number of ops stays the same (one count per round on the driver)."""
+def clean_diff(diffs: DataFrame, mode: str, edit_cost: int = 4) -> DataFrame:
+    """Rounds until the number of ops stays the same (one count per round on the driver). A
+    round that changes a diff merges ops, so the number falls and the loop ends."""
     from pagescale.session import materialise
     d = materialise(merge_diff(diffs))
     n = d.count()
-    for _ in range(rounds):
-        nxt = materialise(clean_round(d, mode, edit_cost))
+    while True:
+        nxt = materialise(clean_round(d, mode, edit_cost), d)
         m = nxt.count()
         if m == n:
-            break
+            return nxt
         d, n = nxt, m
-    return d
 
 
 # ---- deltas and edits -----------------------------------------------------

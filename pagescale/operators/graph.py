@@ -7,6 +7,7 @@ one count per round.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,17 +99,17 @@ def _closure(boxes: DataFrame, keys: list[str], pairs: DataFrame) -> DataFrame:
     return boxes.join(comp, list(keys) + ["id"])
 
 
-def merge_intersected(boxes: DataFrame, keys: list[str], rounds: int = 30) -> DataFrame:
+def merge_intersected(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Closure of overlap: boxes that meet (ends included) become their common rectangle,
-    until no two meet. (keys, id, box, n) with the smallest id and the number of boxes."""
+    until no two meet; each round leaves fewer boxes. (keys, id, box, n) with the smallest
+    id and the number of boxes."""
     cur = materialise(boxes.select(*keys, "id", *B.BOX, F.lit(1).cast("bigint").alias("n")))
-    for _ in range(rounds):
+    while True:
         pairs = materialise(overlap_join(cur.drop("n"), keys))
         if pairs.isEmpty():
             return cur
         cur = materialise(_closure(cur, keys, pairs).groupBy(*keys, F.col("group").alias("id")).agg(
             F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.max("y1").alias("y1"), F.max("x1").alias("x1"), F.sum("n").alias("n")))
-    raise RuntimeError(f"boxes still meet after {rounds} rounds")
 
 
 def sweep_pairs(boxes: DataFrame, keys: list[str], axis: str, block: int = 4096) -> DataFrame:
@@ -189,16 +190,15 @@ def reading_order(lines: DataFrame, keys: list[str]) -> DataFrame:
     return down.unionByName(side)
 
 
-def topsort(lines: DataFrame, keys: list[str], rounds: int = 30) -> DataFrame:
-    """Lines with ``rank`` from 0 in reading order. Instead of peeling an edge set line by
-    line (as many rounds as lines), the page is divided: lines that overlap all others
+def _divided(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines with ``rank`` from 0 as the layout divides the page: lines that overlap all others
     of their group part it by height, and what lies between falls into side-by-side
     columns (chains of x-overlap); parts are divided again until nothing changes. Ties
     by y, x, id. Rounds are the nesting depth of the layout."""
     c = F.col
     d = materialise(lines.withColumn("_path", F.array().cast("array<bigint>")))
     n = -1
-    for level in range(rounds):
+    while True:
         g = d.groupBy(*keys, "_path").agg(F.min("x1").alias("_lo"), F.max("x0").alias("_hi"))
         d2 = d.join(g, list(keys) + ["_path"])
         d2 = d2.withColumn("_sp", F.when((c("x0") < c("_lo")) & (c("x1") > c("_hi")), 1).otherwise(0)).drop("_lo", "_hi")
@@ -215,6 +215,48 @@ def topsort(lines: DataFrame, keys: list[str], rounds: int = 30) -> DataFrame:
     return d.withColumn("rank", c("rank") - 1).drop("_path")
 
 
+def topsort(lines: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, rank): the lines of a page from 0 in an order that obeys its edges (keys, a, b:
+    a before b). Of the lines whose predecessors are all placed the first in the order of the
+    divided page (``_divided``) comes next; where a cycle leaves none, the first of all lines
+    left is taken, so only edges into a cycle's lines can be broken.
+
+    A page is one task's group: its lines and edges (a small multiple of the lines, as
+    ``reading_order`` gives them) are bounded by the page."""
+    import heapq
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        place = {r["id"]: (r["rank"], r["id"]) for r in left.select(["id", "rank"]).to_pylist()}
+        after, waits = {i: [] for i in place}, dict.fromkeys(place, 0)
+        for e in set(zip(right["a"].to_pylist(), right["b"].to_pylist(), strict=True)) if right.num_rows else ():
+            if e[0] in place and e[1] in place and e[0] != e[1]:
+                after[e[0]].append(e[1])
+                waits[e[1]] += 1
+        ready, rest, rank = [place[i] for i in place if not waits[i]], sorted(place.values()), {}
+        heapq.heapify(ready)
+        at = 0
+        while len(rank) < len(place):
+            if ready:
+                i = heapq.heappop(ready)[1]
+            else:
+                while rest[at][1] in rank:
+                    at += 1
+                i = rest[at][1]
+            if i in rank:
+                continue
+            rank[i] = len(rank)
+            for j in after[i]:
+                waits[j] -= 1
+                if not waits[j]:
+                    heapq.heappush(ready, place[j])
+        out = left.select([*keys, "id"])
+        return out.append_column("rank", pa.array([rank[i] for i in out["id"].to_pylist()], pa.int64()))
+
+    kinds = ", ".join(f"{k} {lines.schema[k].dataType.simpleString()}" for k in [*keys, "id"])
+    own = _divided(lines, keys).select(*keys, "id", "rank")
+    return own.groupBy(*keys).cogroup(edges.select(*keys, "a", "b").toDF(*keys, "a", "b").groupBy(*keys)).applyInArrow(run, f"{kinds}, rank bigint")
+
+
 def order_faults(edges: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:
     """Edges that do not ascend in the ranks."""
     r = ranked.select(*keys, "id", "rank")
@@ -222,7 +264,7 @@ def order_faults(edges: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFr
     return j.where("_ra >= _rb").select(*keys, "a", "b")
 
 
-def split_merged_lines(boxes: DataFrame, keys: list[str], rounds: int = 40) -> DataFrame:
+def split_merged_lines(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Boxes with ``lines_hit`` (groups they meet in y) and ``line`` (the group, when one).
 
     Groups are the stabbing points of interval scheduling: the earliest end, then the
@@ -236,9 +278,7 @@ def split_merged_lines(boxes: DataFrame, keys: list[str], rounds: int = 40) -> D
     seq = scan(seq, keys, ["y", "o"], F.floor(c("y") / 4096), _n=Scan("min_after", c("end")))
     hop = materialise(seq.where("o = 1 and _n is not null").select(*keys, c("y").alias("k"), c("_n").alias("v")))
     reached = materialise(boxes.groupBy(*keys).agg(F.min("y1").alias("e")))
-    for _ in range(rounds):
-        if hop.isEmpty():
-            break
+    while not hop.isEmpty():
         more = reached.join(hop, [reached[k] == hop[k] for k in keys] + [reached["e"] == hop["k"]]).select(*[hop[k] for k in keys], hop["v"].alias("e"))
         reached = materialise(reached.unionByName(more).distinct())
         nxt = hop.select(*keys, c("k").alias("v"), c("v").alias("w"))
@@ -250,15 +290,15 @@ def split_merged_lines(boxes: DataFrame, keys: list[str], rounds: int = 40) -> D
     return boxes.join(hit, list(keys) + ["id"]).withColumn("line", F.when(c("lines_hit") == 1, c("_e"))).drop("_e")
 
 
-def xy_cut(boxes: DataFrame, keys: list[str], gap_x: int, gap_y: int, mode: str = "all", rounds: int = 60) -> DataFrame:
+def xy_cut(boxes: DataFrame, keys: list[str], gap_x: int, gap_y: int, mode: str = "all") -> DataFrame:
     """Boxes with ``leaf`` (an array naming the region). A region is cut on the axis with the
     widest empty band (x only when wider than y's), bands of at least ``gap_x`` / ``gap_y``
-    count: at all of them, or (mode "widest") at the widest one. Regions without a band
-    are leaves and leave the loop."""
+    count: at all of them, or (mode "widest") at those that tie for the widest. Regions without
+    a band are leaves and leave the loop, so every round splits what is left."""
     c = F.col
     cur = materialise(boxes.withColumn("leaf", F.array().cast("array<bigint>")))
     done = None
-    for _ in range(rounds):
+    while True:
         d = cur
         on = list(keys) + ["leaf"]
         for ax, gap in (("x", gap_x), ("y", gap_y)):
@@ -266,23 +306,20 @@ def xy_cut(boxes: DataFrame, keys: list[str], gap_x: int, gap_y: int, mode: str
             room = c(f"{ax}0") - c("_reach")
             d = d.withColumn(f"_g{ax}", F.when(room >= gap, room)).drop("_reach")
         d = materialise(d)
-        best = d.groupBy(*on).agg(F.max("_gx").alias("_mx"), F.max("_gy").alias("_my"), F.min_by("x0", F.when(c("_gx").isNotNull(), F.struct(-c("_gx"), c("x0")))).alias("_wx"), F.min_by("y0", F.when(c("_gy").isNotNull(), F.struct(-c("_gy"), c("y0")))).alias("_wy"))
+        best = d.groupBy(*on).agg(F.max("_gx").alias("_mx"), F.max("_gy").alias("_my"))
         best = best.withColumn("_ax", F.when(c("_mx").isNull() & c("_my").isNull(), "-").when(c("_my").isNull() | (c("_mx") > c("_my")), "x").otherwise("y"))
         d = d.join(best, on)
         leaves = materialise(d.where("_ax = '-'").select(*boxes.columns, "leaf"))
         done = leaves if done is None else done.unionByName(leaves)
-        d = d.where("_ax <> '-'").withColumn("_p", F.when(c("_ax") == "x", c("x0")).otherwise(c("y0"))).withColumn("_f", F.when(F.when(c("_ax") == "x", c("_gx")).otherwise(c("_gy")).isNotNull(), 1).otherwise(0))
-        if mode == "widest":
-            at = F.when(c("_ax") == "x", c("_wx")).otherwise(c("_wy"))
-            d = d.withColumn("_c", F.when(c("_p") >= at, 1).otherwise(0).cast("bigint"))
-        else:
-            cut = d.where("_f = 1").groupBy(*on, "_p").agg(F.lit(1).alias("_one")).select(*on, "_p")
-            steps = number_rows(cut, on, ["_p"], F.floor(c("_p") / 4096), "_k")
-            d = _count_cuts(d, steps, on)
+        d = d.where("_ax <> '-'").withColumn("_p", F.when(c("_ax") == "x", c("x0")).otherwise(c("y0")))
+        room, most = F.when(c("_ax") == "x", c("_gx")).otherwise(c("_gy")), F.when(c("_ax") == "x", c("_mx")).otherwise(c("_my"))
+        at = d.where(room == most if mode == "widest" else room.isNotNull())
+        cut = at.groupBy(*on, "_p").agg(F.lit(1).alias("_one")).select(*on, "_p")
+        steps = number_rows(cut, on, ["_p"], F.floor(c("_p") / 4096), "_k")
+        d = _count_cuts(d, steps, on)
         cur = materialise(d.select(*boxes.columns, F.concat("leaf", F.array("_c")).alias("leaf")))
         if cur.isEmpty():
             return done
-    raise RuntimeError(f"regions still split after {rounds} rounds")
 
 
 def _count_cuts(d: DataFrame, steps: DataFrame, on: list[str]) -> DataFrame:

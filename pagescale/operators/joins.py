@@ -170,7 +170,7 @@ def estimate_scale(boxes: DataFrame, keys: list[str], lo: float = 3, hi: float =
     return d.groupBy(*keys).agg(F.percentile("_s", F.lit(0.5), B.area()).alias("scale"))
 
 
-def filter_children(df: DataFrame, keys: list[str], bound: int = 5, rounds: int = 50) -> DataFrame:
+def filter_children(df: DataFrame, keys: list[str], bound: int = 5) -> DataFrame:
     """Boxes kept by the parent rule, outermost first: a box holding at least ``bound`` live
     boxes is rejected and they live on; one holding fewer stays and they are rejected.
 
@@ -187,7 +187,7 @@ def filter_children(df: DataFrame, keys: list[str], bound: int = 5, rounds: int
     edges = materialise(edges)
     open_ = df.select(*k, "id")
     kept = None
-    for _ in range(rounds):
+    while True:
         live = edges.join(open_, k + ["id"], "left_semi").join(open_.withColumnRenamed("id", "p"), k + ["p"], "left_semi")
         n = live.groupBy(*k, F.col("p").alias("id")).agg(F.count("*").alias("n"))
         roots = open_.join(live.select(*k, "id").distinct(), k + ["id"], "left_anti")
@@ -198,7 +198,4 @@ def filter_children(df: DataFrame, keys: list[str], bound: int = 5, rounds: int
         open_ = materialise(open_.join(ruled.select(*k, "id"), k + ["id"], "left_anti").join(gone, k + ["id"], "left_anti"))
         kept = stays if kept is None else kept.unionByName(stays)
         if open_.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"boxes nest deeper than {rounds} levels")
-    return df.join(kept, k + ["id"], "left_semi")
+            return df.join(kept, k + ["id"], "left_semi")

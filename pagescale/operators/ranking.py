@@ -97,7 +97,7 @@ def select_corpus(lines: DataFrame, ident: list[str], text: str, vocab: DataFram
     """``n`` lines of a corpus: by the summed corpus frequency of their characters (ties:
     text desc), the first n, or n at random. Lines whose first character is outside the
     vocabulary are dropped. The count table has one row per character of the script."""
-    vocab = F.broadcast(vocab.select(F.col("ch").alias("_f")).distinct())  # at most one row per code point
+    vocab = vocab.select(F.col("ch").alias("_f")).distinct()
     d = lines.where(F.length(text) > 0).withColumn("_f", F.substring(text, 1, 1)).join(vocab, "_f", "left_semi").drop("_f")
     if mode == "head":
         return d.orderBy(*ident).limit(n)
@@ -105,7 +105,7 @@ def select_corpus(lines: DataFrame, ident: list[str], text: str, vocab: DataFram
         return sample_batch(d, ident, n, seed)
     chars = d.select(F.explode(F.split(text, "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
     per = d.select(*ident, F.explode(F.split(text, "")).alias("ch")).where("ch <> ''").groupBy(*ident, "ch").agg(F.count("*").alias("k"))
-    score = per.join(F.broadcast(chars), "ch").groupBy(*ident).agg(F.sum(F.col("k") * F.col("n")).alias("score"))
+    score = per.join(chars, "ch").groupBy(*ident).agg(F.sum(F.col("k") * F.col("n")).alias("score"))
     return d.join(score, ident).orderBy(F.desc("score"), F.desc(text), *ident).limit(n)
 
 

@@ -60,30 +60,32 @@ def assign_clusters(points: DataFrame, cents: DataFrame, ident: list[str], vec:
     return one.select(*ident, best.alias("_b")).select(*ident, F.col("_b.class").alias("class"), F.col("_b.d").alias("d"))
 
 
-def color_clusters(points: DataFrame, vec: str, threshold: float, k: int = 4, seed: int = 7, rounds: int = 8) -> DataFrame:
+def color_clusters(points: DataFrame, vec: str, threshold: float, k: int = 4, seed: int = 7) -> DataFrame:
     """Centroids (class, centroid) of colour points: k-means with k-means|| seeds; k
-    doubles while a cluster is wider than 0.75 * threshold. Spark ML does the work;
+    doubles while a cluster is wider than 0.75 * threshold, at most to the number of colours. Spark ML does the work;
     only the centres (k of them) come back to the driver."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     feats = points.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"), F.col(vec).alias("_v"))
     spark: SparkSession = points.sparkSession
-    for _ in range(rounds):
+    different = points.select(vec).distinct().count()
+    while True:
         model = KMeans(k=k, seed=seed, maxIter=20).fit(feats)
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
         cents = spark.createDataFrame(rows, "class int, centroid array<double>")
         widest = assign_clusters(feats, cents, [], "_v").agg(F.max("d")).first()[0]
         if widest is None or widest <= 0.75 * threshold:
-            break
-        k *= 2
-    return cents
+            return cents
+        if k >= different:  # every colour is its own cluster
+            return points.select(F.col(vec).alias("centroid")).distinct().select(F.xxhash64("centroid").alias("class"), F.col("centroid").cast("array<double>").alias("centroid"))
+        k = min(2 * k, different)
 
 
 def quantize(points: DataFrame, cents: DataFrame, ident: list[str], vec: str) -> DataFrame:
     """Each point with the centre of its cluster. Only distinct colours are assigned."""
     colours = points.select(vec).distinct()
-    near = assign_clusters(colours, cents, [vec], vec).join(F.broadcast(cents), "class") \
+    near = assign_clusters(colours, cents, [vec], vec).join(cents, "class") \
         .select(vec, "class", F.col("centroid").alias("color"))
     return points.join(near, vec).select(*ident, "class", "color")
 
@@ -120,7 +122,7 @@ def pick_by_policy(cands: DataFrame, keys: list[str], kata: DataFrame, small_sid
     best -> the voicing marks, else the best of ``kata``. 4: best of ``kanji``.
     Everything is one conditional aggregation, folded before its shuffle.
     """
-    c = cands.join(F.broadcast(kata.select(F.col("ch").alias("cls")).distinct().withColumn("_kata", F.lit(True))), "cls", "left")
+    c = cands.join(kata.select(F.col("ch").alias("cls")).distinct().withColumn("_kata", F.lit(True)), "cls", "left")
     key = F.struct((-F.col("prob")).alias("np"), F.col("cls").alias("c"))
     mix = F.col("model") == "mix"
 

@@ -32,8 +32,10 @@ def apply_renumbering(cells: DataFrame, mapping: DataFrame, keys: list[str]) ->
 
 def renumber_by_xcenter(objects: DataFrame, keys: list[str], width: int = 1 << 16) -> DataFrame:
     """(keys, label, new): labels numbered from 1 by x-centre; a missing box goes last."""
-    d = objects.withColumn("_xc", F.coalesce(F.col("x0") + F.col("x1"), F.lit(2 * 999999)))
-    return number_rows(d, keys, ["_xc", "label"], _block("_xc", width), "new").select(*keys, "label", "new")
+    xc = F.col("x0") + F.col("x1")
+    d = objects.withColumn("_xc", F.struct(xc.isNull().alias("missing"), xc.alias("at")))
+    block = F.coalesce(F.floor(xc / width), F.lit(1 << 40) + F.floor(F.col("label") / width))  # behind every block of a box
+    return number_rows(d, keys, ["_xc", "label"], block, "new").select(*keys, "label", "new")
 
 
 def ordered_by_xcenter(objects: DataFrame, keys: list[str], width: int = 1 << 16) -> DataFrame:

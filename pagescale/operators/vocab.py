@@ -26,10 +26,10 @@ def build_vocab(chars: DataFrame, ch: str = "ch", first: list[str] | None = None
 
 def map_labels(df: DataFrame, vocab: DataFrame, col: str, out: str, default) -> DataFrame:
     """Character to label (or back): left join with a vocabulary of (``col``, value); misses
-    get ``default``. A character vocabulary is small enough to broadcast."""
+    get ``default``. Spark broadcasts a small vocabulary by its size."""
     key, value = vocab.columns
     v = vocab.select(F.col(key).alias("_key"), F.col(value).alias("_val"))
-    return df.join(F.broadcast(v), F.col(col) == F.col("_key"), "left").withColumn(out, F.coalesce("_val", F.lit(default))).drop("_key", "_val")
+    return df.join(v, F.col(col) == F.col("_key"), "left").withColumn(out, F.coalesce("_val", F.lit(default))).drop("_key", "_val")
 
 
 def merge_vocab(a: DataFrame, b: DataFrame) -> DataFrame:

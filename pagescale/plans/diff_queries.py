@@ -113,7 +113,7 @@ def _single(spark, sf):
     """The diff cut to one op per line, to be merged again."""
     d = diffs(spark, sf)
     parts = F.posexplode(F.regexp_extract_all("text", F.lit("[^\n]*\n|[^\n]+"), F.lit(0))).alias("i", "t")
-    return d.select("a", "b", "seq", "op", parts).select("a", "b", (F.col("seq") * 100000 + F.col("i")).alias("seq"), "op", F.col("t").alias("text"))
+    return d.select("a", "b", "seq", "op", parts).select("a", "b", F.struct("seq", "i").alias("seq"), "op", F.col("t").alias("text"))
 
 
 @query("set13_merge_diff", "SELECT a, b, seq, op, text FROM df", *VIEWS, **DIFF)

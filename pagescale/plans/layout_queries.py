@@ -21,7 +21,7 @@ def _(spark, sf):
 
 
 @query("join4_interval_join_x", """
-    SELECT a.page, a.y0, a.id AS a, b.id AS b, a.x0 - 1 AS lo, b.x1 AS hi FROM page_words a JOIN page_words b ON a.page = b.page AND a.y0 = b.y0 AND b.id = a.id + 1""", "page_words")
+    SELECT page, y0, id AS a, b, x0 - 1 AS lo, hi FROM (SELECT *, lead(id) OVER w AS b, lead(x1) OVER w AS hi FROM page_words WINDOW w AS (PARTITION BY page, y0 ORDER BY id)) WHERE b IS NOT NULL""", "page_words")
 def _(spark, sf):
     w = V.page_words(spark, sf).select("page", "y0", "id", (F.col("x0") - 1).alias("x0"), "x1")
     return J.interval_join(w, ["page", "y0"], "x")

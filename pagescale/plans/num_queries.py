@@ -108,7 +108,7 @@ def _(spark, sf):
     SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, unnest(range(0, CAST(ceil(l_quantity / 10) AS BIGINT))) * 10.0::DOUBLE AS at FROM lineitem""")
 def _(spark, sf):
     """Sampling positions 0, 10, ... below each line's quantity."""
-    at = F.explode(F.filter(N.frange(0, 60, 10), lambda v: v < F.col("l_quantity")))
+    at = F.explode(N.frange(0, F.col("l_quantity"), 10))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", at.alias("at"))
 
 
@@ -217,7 +217,7 @@ def _(spark, sf):
            round(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) / greatest(1, a.x1 - a.x0, b.x1 - b.x0), 6) AS rx,
            a.x1 >= b.x0 AND b.x1 >= a.x0 AS tx, a.y1 >= b.y0 AND b.y1 >= a.y0 AS ty,
            a.y0 + a.y1 >= 2 * b.y0 AND a.y0 + a.y1 <= 2 * b.y1 AND a.x0 + a.x1 >= 2 * b.x0 AND a.x0 + a.x1 <= 2 * b.x1 AS mid_in
-    FROM page_words a JOIN page_words b ON a.page = b.page AND b.id = a.id + 1""", "page_words")
+    FROM (SELECT *, lead({'y0': y0, 'x0': x0, 'y1': y1, 'x1': x1}) OVER (PARTITION BY page ORDER BY id) AS b FROM page_words) a WHERE b IS NOT NULL""", "page_words")
 def _(spark, sf):
     w = page_words(spark, sf)
     a = w.select("page", "id", *[F.col(c).alias("a_" + c) for c in B.BOX])

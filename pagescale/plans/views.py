@@ -163,10 +163,13 @@ def ranked(spark, sf) -> DataFrame:
 
 
 def doc_pairs(spark, sf) -> DataFrame:
-    """Pairs a < b of documents sharing at least 3 long lines that stand in exactly two documents."""
-    ln = lines(spark, sf).where(F.length("line") > 30).select("doc_id", "line").groupBy("line").agg(
-        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count_distinct("doc_id").alias("n"))
-    return ln.where("n = 2").groupBy("a", "b").count().where("count >= 3").select("a", "b")
+    """Pairs a < b of documents that share at least 3 long lines of which ``a`` is the first
+    holder. Each other holder of a line is paired with its first one only, so a line that
+    many documents hold gives as many pairs as holders, not all of them."""
+    ln = lines(spark, sf).where(F.length("line") > 30).select("doc_id", "line").distinct()
+    head = ln.groupBy("line").agg(F.min("doc_id").alias("a"))
+    both = ln.withColumnRenamed("doc_id", "b").join(head, "line").where("a < b")
+    return both.groupBy("a", "b").count().where("count >= 3").select("a", "b")
 
 
 SQL = {
@@ -242,8 +245,8 @@ SQL = {
         SELECT vec_id, label::VARCHAR AS real, class AS pred FROM
           (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, class) AS rk FROM candidates) WHERE rk = 1""",
     "doc_pairs": """
-        SELECT a, b FROM (SELECT min(doc_id) AS a, max(doc_id) AS b FROM lines WHERE length(line) > 30
-                          GROUP BY line HAVING count(DISTINCT doc_id) = 2) GROUP BY a, b HAVING count(*) >= 3""",
+        SELECT a, doc_id AS b FROM (SELECT DISTINCT doc_id, line, min(doc_id) OVER (PARTITION BY line) AS a FROM lines WHERE length(line) > 30)
+        WHERE a < doc_id GROUP BY a, doc_id HAVING count(*) >= 3""",
 }
 
 NEEDS = {

@@ -43,14 +43,13 @@ def _(spark, sf):
     return O.map_labels(counts, v, "ch", "label", -1).groupBy("lang", "label").agg(F.sum("n").alias("n"))
 
 
-_FIRST = """SELECT ch, min((doc_id * 100000 + y) * 100000 + x) AS pos FROM (SELECT doc_id, y, lang, unnest(string_split(line, '')) AS ch,
+_FIRST = """SELECT ch, min(row(doc_id, y, x)) AS pos FROM (SELECT doc_id, y, lang, unnest(string_split(line, '')) AS ch,
     generate_subscripts(string_split(line, ''), 1) - 1 AS x FROM lines) WHERE ch <> '' AND lang {0} 'en' GROUP BY ch"""
 
 
 def _firsts(spark, sf, english):
     c = chars(spark, sf).where(F.col("lang") == "en" if english else F.col("lang") != "en")
-    pos = (F.col("doc_id") * 100000 + F.col("y")) * 100000 + F.col("x")
-    return c.groupBy("ch").agg(F.min(pos).alias("pos"))
+    return c.groupBy("ch").agg(F.min(F.struct("doc_id", "y", "x")).alias("pos"))
 
 
 @query("set1_merge_vocab", """

@@ -102,7 +102,7 @@ def pair_variants(df: DataFrame, kinds: list[str], col: str = "path") -> DataFra
 
 
 # Record size, records to skip, place and length of the JIS code and the bitmap.
-LAYOUTS = {"b576": (576, 1, 2, 2, 8, 504), "b512": (512, 1, 2, 2, 8, 504), "c2052": (2052, 0, 0, 2, 32, 2016)}
+LAYOUTS = {"b576": (576, 1, 2, 2, 8, 504), "b512": (512, 1, 2, 2, 8, 504), "c2052": (2052, 1, 6, 1, 32, 2016)}
 
 
 def parse_fixed_records(df: DataFrame, keep: list[str], content: str, layout) -> DataFrame:

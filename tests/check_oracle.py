@@ -12,12 +12,12 @@ import pandas as pd  # noqa: E402
 import __spark_entry__ as entry_module  # noqa: E402
 from pagescale.session import local_session  # noqa: E402
 
-TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
 
 
 def canon(pdf):
     pdf = pdf[sorted(pdf.columns)]
-    rows = [tuple("~" if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else
+    rows = [tuple("~" if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else
                   (format(v, ".9g") if isinstance(v, float) else str(v)) for v in r)
             for r in pdf.itertuples(index=False, name=None)]
     return sorted(rows)

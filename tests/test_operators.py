@@ -167,11 +167,41 @@ def test_reading_order_same_closure(spark, seed):
     want = reference_rule(b)
     assert got <= want
     assert closure(got) == closure(want)
-    ranked = G.topsort(df, ["page"])
+    ranked = G.topsort(df, edges, ["page"])
     assert [r["id"] for r in ranked.orderBy("rank").collect()] == list(range(len(b)))
     assert G.order_faults(edges, ranked, ["page"]).isEmpty()
 
 
+def test_topsort_obeys_its_edges(spark):
+    df = boxes(spark, [(0, 40, 1, 50), (5, 0, 6, 12), (10, 10, 11, 30), (15, 28, 16, 42)])
+    edges = G.reading_order(df, ["page"])
+    ranked = G.topsort(df, edges, ["page"])
+    assert [r["id"] for r in ranked.orderBy("rank").collect()] == [1, 2, 0, 3]
+    assert G.order_faults(edges, ranked, ["page"]).isEmpty()
+    cycle = spark.createDataFrame([(edges.first()["page"], a, b) for a, b in ((2, 1), (1, 2), (3, 0))], "page bigint, a bigint, b bigint")
+    ranked = G.topsort(df, cycle, ["page"])
+    assert [r["id"] for r in ranked.orderBy("rank").collect()] == [3, 0, 1, 2]
+    assert {(r["a"], r["b"]) for r in G.order_faults(cycle, ranked, ["page"]).collect()} == {(2, 1)}
+
+
+def test_topsort_random_graphs(spark):
+    import random
+    rnd = random.Random(8)
+    df = boxes(spark, [(rnd.randrange(50), rnd.randrange(50), 60, 60) for _ in range(40)])
+    order = rnd.sample(range(40), 40)
+    pairs = [(order[i], order[j]) for i in range(40) for j in range(i) if rnd.random() < 0.1]
+    edges = spark.createDataFrame([(df.first()["page"], b, a) for a, b in pairs], "page bigint, a bigint, b bigint")
+    ranked = G.topsort(df, edges, ["page"])
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(40))
+    assert G.order_faults(edges, ranked, ["page"]).isEmpty()
+
+
+def test_xy_cut_many_even_lines(spark):
+    b = [(3 * i, 0, 3 * i + 1, 9) for i in range(130)]
+    got = G.xy_cut(boxes(spark, b), ["page"], 2, 2, "widest").collect()
+    assert len({tuple(r["leaf"]) for r in got}) == 130
+
+
 def test_split_merged_lines(spark):
     b = [(0, 0, 3, 5), (1, 6, 2, 9), (5, 0, 8, 5), (6, 6, 9, 9), (2, 10, 6, 12), (12, 0, 14, 4)]
     got = {r["id"]: (r["lines_hit"], r["line"]) for r in G.split_merged_lines(boxes(spark, b), ["page"]).collect()}
