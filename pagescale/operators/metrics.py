@@ -103,9 +103,12 @@ def confusions(df: DataFrame, context: int = 1, pred: str = "pred", truth: str =
     """Counts of differing contexts (got, want). Pairs of equal length are compared place
     by place, neighbouring differences closer than the context window form one region
     grown by ``context``; other pairs give the middle left between common prefix and
-    suffix. All inside the row, then one folded count."""
+    suffix. Equal pairs are folded to one row with a count before any comparison; then all is
+    inside the row, and one sum folds the contexts."""
     p, t = F.col(pred), F.col(truth)
-    d = df.where(p != t).select(p.alias("p"), t.alias("t"), T.common_prefix_len(p, t).alias("pre"),
+    d = df.where(p != t).groupBy(p.alias("p"), t.alias("t")).agg(F.count("*").alias("n"))
+    p, t = F.col("p"), F.col("t")
+    d = d.select("p", "t", F.col("n").alias("times"), T.common_prefix_len(p, t).alias("pre"),
                                 (F.length(p) == F.length(t)).alias("same"))
     n = F.least(F.length("p"), F.length("t")) - F.col("pre")
     rest = T.common_suffix_len(F.substring("p", F.col("pre") + 1, F.length("p")), F.substring("t", F.col("pre") + 1, F.length("t")))
@@ -115,16 +118,16 @@ def confusions(df: DataFrame, context: int = 1, pred: str = "pred", truth: str =
     # equal length: blank out characters whose window holds no difference, split at the blanks
     def masked(side):
         a, b = F.split(F.col("p"), ""), F.split(F.col("t"), "")
-        diff = F.array_join(F.zip_with(a, b, lambda x, y: F.when(x == y, "0").otherwise("1")), "")
-        ring = F.concat(F.lit("0" * (2 * context)), diff, F.lit("0" * (2 * context)))
+        edge = F.array_repeat(F.lit(False), 2 * context)
+        ring = F.concat(edge, F.zip_with(a, b, lambda x, y: x != y), edge)
         own = F.split(F.concat(F.lit(pad), F.col(side), F.lit(pad)), "")
-        keep = F.transform(own, lambda c, i: F.when(F.substring(ring, i + 1, F.lit(2 * context + 1)).contains("1"), c).otherwise("\x00"))
+        keep = F.transform(own, lambda c, i: F.when(F.exists(F.slice(ring, i + 1, F.lit(2 * context + 1)), lambda x: x), c).otherwise("\x00"))
         return F.filter(F.split(F.array_join(keep, ""), "\x00+"), lambda s: s != "")
 
     even = F.arrays_zip(masked("p").alias("got"), masked("t").alias("want"))
     mid = F.array(F.struct(*[F.substring(s, F.col("pre") + 1, F.length(s) - F.col("pre") - F.col("suf")).alias(nm) for s, nm in (("p", "got"), ("t", "want"))]))
     pairs = F.explode(F.when(F.col("same"), even).otherwise(mid)).alias("c")
-    return d.select(pairs).groupBy("c.got", "c.want").agg(F.count("*").alias("n"))
+    return d.select("times", pairs).groupBy("c.got", "c.want").agg(F.sum("times").alias("n"))
 
 
 def wrong_cases(cands: DataFrame, k: int = 3) -> DataFrame:

@@ -76,11 +76,21 @@ def as_map(vocab: DataFrame, inverse: bool = False) -> Column:
     return vocab.agg(F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("m")).scalar()
 
 
+def by_code_point(vocab: DataFrame) -> Column:
+    """The labels as one array indexed by code point (a scalar sub-query), null where a
+    character is unknown. Its length is bounded by the largest code point, so by Unicode."""
+    known = vocab.where(F.length("ch") == 1).select(F.ascii("ch").alias("cp"), "label")
+    every = known.agg(F.coalesce(F.max("cp"), F.lit(0)).alias("m")).select(F.explode(F.sequence(F.lit(0), "m")).alias("cp"))
+    cells = F.array_sort(F.collect_list(F.struct("cp", "label")))
+    return every.join(known, "cp", "left").agg(F.transform(cells, lambda s: s["label"]).alias("m")).scalar()
+
+
 def encode_text(df: DataFrame, col: str, vocab: DataFrame, default: int, out: str = "labels") -> DataFrame:
-    """Label array of each string, unknown characters to ``default``; stays in the row."""
-    d = df.withColumn("_m", as_map(vocab))
+    """Label array of each string, unknown characters to ``default``; stays in the row. A
+    character's label is one array access."""
+    d = df.withColumn("_m", by_code_point(vocab))
     chars = F.filter(F.split(F.col(col), ""), lambda c: c != "")
-    return d.withColumn(out, F.transform(chars, lambda c: F.coalesce(F.try_element_at("_m", c), F.lit(default).cast("bigint")))).drop("_m")
+    return d.withColumn(out, F.transform(chars, lambda c: F.coalesce(F.get("_m", F.ascii(c)), F.lit(default).cast("bigint")))).drop("_m")
 
 
 def decode_text(df: DataFrame, col: str, vocab: DataFrame, default: str = "~", out: str = "text") -> DataFrame:
