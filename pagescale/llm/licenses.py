@@ -3,8 +3,10 @@
 Compared are the whole text of a document and each of its lines. Text is normalised to lower-case
 ASCII words; Dice is 2 |A and B| / (|A| + |B|) over the different word bigrams. As the
 coefficient cannot exceed 2 min(|A|, |B|) / (|A| + |B|), a template is a candidate only for units whose number
-of bigrams lies between t / (2 - t) and (2 - t) / t times its own, t being the threshold;
-the bound is a range join against the few templates, before any set is compared.
+of bigrams lies between t / (2 - t) and (2 - t) / t times its own, t being the threshold.
+A unit of w words, d of them different, has at most w - 1 and at least d - 1 different
+bigrams, so most units are ruled out before their bigrams are made; the rest meet the
+templates in a range join on the exact number, and only then sets are compared.
 
 Defined cases: null and blank texts, and units of fewer than two words, match nothing (licence null,
 dice 0); ties go to the first template name, then the whole text (unit 0), then the earlier line;
@@ -35,8 +37,8 @@ TEMPLATES = {
 
 
 def words(text: Column) -> Column:
-    """Lower-case ASCII words."""
-    return F.filter(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
+    """Lower-case ASCII words; one empty word for a text without any."""
+    return F.split(F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))), " ")
 
 
 def bigrams(w: Column) -> Column:
@@ -58,8 +60,11 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
         templates = F.broadcast(templates)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), F.explode(F.transform(F.concat(F.array(text), F.split(text, "\n")), lambda u, k: F.struct(k.cast("bigint").alias("unit"), u.alias("body")))).alias("u"))
-    own = own.select("id", "u.unit", bigrams(words(F.col("u.body"))).alias("own")).withColumn("n", F.size("own")).where("n > 0")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    own = own.select("id", "u.unit", words(F.col("u.body")).alias("w")).withColumn("d", F.size(F.array_distinct("w")))
+    can = (F.size("w") - 1 >= F.col("m") * low - 1e-9) & (F.col("d") - 1 <= F.col("m") * high + 1e-9)
+    own = own.join(templates.select("m"), can, "left_semi")
+    own = own.select("id", "unit", bigrams(F.col("w")).alias("own")).withColumn("n", F.size("own")).where("n > 0")
     bound = (F.col("n") >= F.col("m") * low - 1e-9) & (F.col("n") <= F.col("m") * high + 1e-9)
     both = own.join(templates, bound)
     dice = 2.0 * F.size(F.array_intersect("own", "grams")) / (F.col("n") + F.col("m"))
