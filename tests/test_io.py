@@ -45,3 +45,30 @@ def test_fixed_records(spark, tmp_path):
     (tmp_path / "r").write_bytes(b"\x00" * 576 + rec + rec[:100])
     got = R.read_fixed_records(spark, str(tmp_path / "r")).collect()
     assert len(got) == 1 and got[0]["jis"] == 0x2422 and bytes(got[0]["bitmap"]) == b"\xff" * 504
+
+
+class Unset:
+    """The session without spark.checkpoint.dir, on a given master."""
+
+    def __init__(self, spark, master):
+        self.conf, self._jvm, self._jsc = self, spark._jvm, spark._jsc
+        self.sparkContext, self.master, self._spark = self, master, spark
+
+    def get(self, key, default=None):
+        return default if key == "spark.checkpoint.dir" else self._spark.conf.get(key)
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_scratch_folder(spark):
+    from pagescale.session import materialise, scratch_dir
+    base = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:").rstrip("/")
+    assert f"{base}/pagescale/" in scratch_dir(Unset(spark, "local[8]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Unset(spark, "spark://host:7077"))
+    first = materialise(spark.range(5).toDF("id"))
+    second = materialise(first.where("id > 1"), first)
+    assert sorted(r["id"] for r in second.collect()) == [2, 3, 4]
+    import os
+    assert not os.path.exists(first._scratch.removeprefix("file:")) and os.path.exists(second._scratch.removeprefix("file:"))
