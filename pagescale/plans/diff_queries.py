@@ -1,5 +1,7 @@
 """Registered queries: document pairs, diffs, edits, passage location."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from pagescale.operators import diff as D
@@ -136,7 +138,21 @@ def _(spark, sf):
     return D.clean_round(diffs(spark, sf), "semantic")
 
 
-@query("set13_clean_diff")
+def _rounds(n):
+    """CTEs of n rounds one after the other, the last one as ``done``."""
+    out, src = {}, "df"
+    for i in range(1, n + 1):
+        names = {"df": src, "ks": f"ks{i}", "es": f"es{i}", "cut": f"cut{i}", "runs": f"runs{i}"}
+        put = lambda sql, names=names: re.sub(r"\b(df|ks|es|cut|runs)\b", lambda m: names[m[1]], sql)
+        out |= {names[k]: put(v) for k, v in (("ks", _KS), ("es", _ES), ("cut", _CUT), ("runs", _RUNS))}
+        src = f"df{i}"
+        out[src] = f"""SELECT a, b, row_number() OVER (PARTITION BY a, b ORDER BY g, op + CASE op WHEN 0 THEN 9 ELSE 0 END) AS seq, op, text FROM
+            (SELECT a, b, g, op, string_agg(text, '' ORDER BY seq) AS text FROM runs{i} GROUP BY a, b, g, op)"""
+    return out | {"done": f"SELECT * FROM {src}"}
+
+
+# Six rounds; each pair is stable after fewer, and a stable diff passes a round unchanged.
+@query("set13_clean_diff", "SELECT a, b, seq, op, text FROM done", *VIEWS, **DIFF, **_rounds(6))
 def _(spark, sf):
     return D.clean_diff(diffs(spark, sf), "semantic")
 

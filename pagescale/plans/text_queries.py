@@ -178,6 +178,16 @@ def _(spark, sf):
     return T.jis_to_unicode(pairs.select(F.lower(code).alias("code"), "n"), "code")
 
 
+# Rows 3 to 5 of the plane by arithmetic: letters and digits, hiragana, katakana.
+@query("txt17_kana", """
+    SELECT code, n, CASE WHEN hi = 35 AND chr(lo) SIMILAR TO '[0-9A-Za-z]' THEN chr(65248 + lo) WHEN hi = 36 AND lo <= 115 THEN chr(12320 + lo) WHEN hi = 37 AND lo <= 118 THEN chr(12416 + lo) ELSE '' END AS ch
+    FROM (SELECT lower(hex(two)) AS code, ascii(two) AS hi, ascii(substr(two, 2, 1)) AS lo, count(*) AS n FROM (SELECT unnest(regexp_extract_all(line, '[#-%][!-~]')) AS two FROM lines) GROUP BY two)""", "lines")
+def _(spark, sf):
+    """Two adjacent signs, the first of # to %, read as a JIS code."""
+    pairs = lines(spark, sf).select(F.explode(F.regexp_extract_all("line", F.lit("[#-%][!-~]"), F.lit(0))).alias("two")).groupBy("two").agg(F.count("*").alias("n"))
+    return T.jis_to_unicode(pairs.select(F.lower(F.hex(F.encode("two", "UTF-8"))).alias("code"), "n"), "code").select("code", "n", "ch")
+
+
 @query("txt18_clean_names", """
     SELECT doc_id, y, regexp_replace(line, '[ ()]', '_', 'g') AS cleaned, regexp_replace(line, '\\s', '', 'g') AS stripped FROM lines""", "lines")
 def _(spark, sf):
