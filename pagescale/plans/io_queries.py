@@ -36,6 +36,16 @@ def _(spark, sf):
     return c.groupBy("source").agg((F.count_distinct("path", "line_no")).alias("n"), F.max(F.length("text")).cast("bigint").alias("longest"))
 
 
+@query("src3_expand_inputs", "SELECT path FROM paths", "paths")
+def _(spark, sf):
+    """Paths written as two list files, expanded again."""
+    out = scratch_dir(spark)
+    p = V.paths(spark, sf).select("doc_id", F.col("path").alias("value"))
+    for part in (0, 1):
+        p.where(F.col("doc_id") % 2 == part).select("value").write.text(f"{out}/{part}")
+    return S.expand_inputs(spark, [f"@{out}/0", f"@{out}/1"]).select("path")
+
+
 @query("src4_filter_names", "SELECT doc_id, path FROM paths WHERE regexp_matches(path, '-[A-Za-z]+[.]png$')", "paths")
 def _(spark, sf):
     return S.filter_names(V.paths(spark, sf), ["png"], r"-[A-Za-z]+\.png$", None).select("doc_id", "path")

@@ -66,11 +66,12 @@ def expand_inputs(spark: SparkSession, args: list[str]) -> DataFrame:
             d = spark.read.text(arg[1:]).where("value <> ''").select(F.col("value").alias("path"))
         else:
             d = spark.read.format("binaryFile").load(arg + "/????/??????.png" if book else arg).select("path")
-        if d.isEmpty():
-            raise FileNotFoundError(f"{arg}: expansion did not yield any files")
         d = d.select(F.lit(arg).alias("arg"), "path")
         out = d if out is None else out.unionByName(d)
-    return out.orderBy("arg", "path")
+    found = {r["arg"] for r in out.select("arg").distinct().collect()}  # one job for all arguments
+    if missing := [a for a in args if a not in found]:
+        raise FileNotFoundError(f"{', '.join(missing)}: expansion did not yield any files")
+    return out
 
 
 def parse_recognition_path(df: DataFrame, col: str = "path") -> DataFrame:
