@@ -5,8 +5,8 @@ ASCII words; Dice is 2 |A and B| / (|A| + |B|) over the different word bigrams.
 coefficient cannot exceed 2 min(|A|, |B|) / (|A| + |B|), a template is a candidate only for units whose number
 of bigrams lies between t / (2 - t) and (2 - t) / t times its own, t being the threshold.
 A unit of w words, d of them different, has at most w - 1 and at least d - 1 different
-bigrams, so most units are ruled out before their bigrams are made; the rest meet the
-templates in a range join on the exact number, and only then sets are compared.
+bigrams, so most units are ruled out before their bigrams are made; the rest are held against
+the templates whose bounds the exact number meets.
 
 Defined cases: null and blank texts, and units of fewer than two words, match nothing (licence null,
 dice 0); ties go to the first template name, then the whole text (unit 0), then the earlier line;
@@ -15,11 +15,13 @@ repeated rows each get their row; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.9
-FEW = 1000  # templates that are broadcast; more are left to Spark's size-based choice
 
 #: Public licence texts and common notices. More can be given as a parameter.
 TEMPLATES = {
@@ -36,42 +38,56 @@ TEMPLATES = {
 }
 
 
-def words(text: Column) -> Column:
-    """Lower-case ASCII words; one empty word for a text without any."""
-    return F.split(F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))), " ")
+def words(text: str) -> list[str]:
+    """Lower-case ASCII words."""
+    return [w.lower() for w in re.findall("[A-Za-z0-9]+", text)]
 
 
-def bigrams(w: Column) -> Column:
+def bigrams(w: list[str]) -> set[tuple[str, str]]:
     """The different pairs of neighbouring words."""
-    pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(F.size(w) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
-
+    return set(zip(w, w[1:], strict=False))
 
-def template_table(spark, templates: dict[str, str] | None = None) -> DataFrame:
-    """(name, grams, m) of the given texts, those of this module by default."""
-    rows = spark.createDataFrame(list((templates or TEMPLATES).items()), "name string, body string")
-    return rows.select("name", bigrams(words(F.col("body"))).alias("grams")).withColumn("m", F.size("grams")).where("m > 0")
 
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, unit, name, dice) of every unit and template at or above the threshold; unit 0 is the whole text, others are line numbers.
 
-def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, unit, name, dice) of every unit and template at or above the threshold; unit 0 is the whole text, others are line numbers."""
-    templates = template_table(docs.sparkSession) if templates is None else templates
-    if templates.limit(FEW + 1).count() <= FEW:
-        templates = F.broadcast(templates)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).alias("id"), F.explode(F.transform(F.concat(F.array(text), F.split(text, "\n")), lambda u, k: F.struct(k.cast("bigint").alias("unit"), u.alias("body")))).alias("u"))
+    ``templates`` (name to text) go to the tasks with the function; documents are not shuffled.
+    """
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    own = own.select("id", "u.unit", words(F.col("u.body")).alias("w")).withColumn("d", F.size(F.array_distinct("w")))
-    can = (F.size("w") - 1 >= F.col("m") * low - 1e-9) & (F.col("d") - 1 <= F.col("m") * high + 1e-9)
-    own = own.join(templates.select("m"), can, "left_semi")
-    own = own.select("id", "unit", bigrams(F.col("w")).alias("own")).withColumn("n", F.size("own")).where("n > 0")
-    bound = (F.col("n") >= F.col("m") * low - 1e-9) & (F.col("n") <= F.col("m") * high + 1e-9)
-    both = own.join(templates, bound)
-    dice = 2.0 * F.size(F.array_intersect("own", "grams")) / (F.col("n") + F.col("m"))
-    return both.select("id", "unit", "name", dice.alias("dice")).where(F.col("dice") >= threshold)
-
-
-def best_license(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    known = sorted((len(g), name, g) for name, text in (templates or TEMPLATES).items() if (g := bigrams(words(text))))
+    sizes = [(m * low - 1e-9, m * high + 1e-9) for m, _, _ in known]
+
+    def matches(body):
+        w = words(body)
+        if not any(len(w) - 1 >= lo for lo, _ in sizes):
+            return
+        d = len(set(w)) - 1
+        if not any(len(w) - 1 >= lo and d <= hi for lo, hi in sizes):
+            return
+        own = bigrams(w)
+        for (m, name, g), (lo, hi) in zip(known, sizes, strict=True):
+            if own and lo <= len(own) <= hi:
+                dice = 2.0 * len(own & g) / (len(own) + m)
+                if dice >= threshold:
+                    yield name, dice
+
+    def run(batches):
+        for b in batches:
+            ids, units, names, found = [], [], [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for unit, body in enumerate([text, *text.split("\n")] if text else ()):
+                    for name, dice in matches(body):
+                        ids.append(i)
+                        units.append(unit)
+                        names.append(name)
+                        found.append(dice)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(units, pa.int64()), pa.array(names, pa.string()), pa.array(found, pa.float64())], ["id", "unit", "name", "dice"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, unit bigint, name string, dice double")
+
+
+def best_license(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id, license, dice, unit, n_matches)."""
     found = scan(docs, templates, threshold, id_col, text_col)
     top = found.groupBy("id").agg(F.min(F.struct((-F.col("dice")).alias("d"), "name", "unit")).alias("b"), F.count_distinct("unit").alias("n_matches"))
