@@ -65,7 +65,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Only texts that hold a long enough run at all are split; a whole-match rule asks for the
     length in its pattern, which keeps runs of short matches (single letters) out of the arrays.
-    The window runs over the matches of one rule in one text.
+    The window runs over the matches of one rule in one text; a blob that comes in several rows counts once.
     """
     each = []
     for rank, r in enumerate(rules):
@@ -79,7 +79,8 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         each.append(F.when(F.col("text").rlike(pattern), _lengths(cut, rank, r)))
     found = blobs.select("blob_id", F.inline(F.flatten(F.array_compact(F.array(*each))))).where("len is not null")
     at = Window.partitionBy("blob_id", "rank").orderBy("k")
-    out = found.withColumn("end", F.sum(F.col("gap").cast("bigint") + F.col("len")).over(at))
+    found = found.withColumn("again", F.lag("k").over(at).eqNullSafe(F.col("k"))).where("not again")
+    out = found.withColumn("end", F.sum(F.col("gap").cast("bigint") + F.col("len")).over(at.rowsBetween(Window.unboundedPreceding, 0)))
     return out.where("value >= least").select("blob_id", "kind", "rank", (F.col("end") - F.col("len")).alias("start"), "end")
 
 

@@ -34,6 +34,14 @@ def test_secrets(spark, docs, tmp_path):
     assert secrets.scan_documents(docs((1, "x")).limit(0)).collect() == []
 
 
+def test_secrets_of_repeated_rows(spark, docs):
+    """Copies whose id is the smallest holder of their text, and null ids with one text."""
+    rows = [(1, "password=abcdefghijkl")] * 3 + [(None, "a token=abcdefghijklm, token=nopqrstuvwxyz")] * 2 + [(2, "x")]
+    assert sorted((r.path or 0, r.spans) for r in secrets.scan_documents(docs(*rows)).collect()) == sorted((i or 0, spans(t)) for i, t in rows)
+    paths, found, _ = secrets.update(docs(*rows))
+    assert sorted(r.text for r in secrets.redact(docs(*rows), paths, found).collect()) == ["[secret]"] * 3 + ["a [secret], [secret]"] * 2 + ["x"]
+
+
 def test_secret_ledger_scans_only_what_is_new(spark, docs, tmp_path):
     at = str(tmp_path / "ledger")
     first = docs((1, "token=abcdefghijklm"), (2, "plain"))
