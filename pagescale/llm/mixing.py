@@ -1,17 +1,20 @@
 """Mixing to target weights with soft memberships.
 
 A multinomial classifier, learned from a labelled table, gives every document posteriors over the
-domains. Rates r >= 0 are fitted by projected gradient steps of a least-squares problem so
-that the expected domain tokens, the sum of r_i * tokens_i * p_i, come to the targets. The
-problem is whitened by M, the token-weighted mean of p p', so that a step of 1 is safe and all
-domains, however small, move at the same speed:
+domains. Among the rates r >= 0 whose expected domain tokens s = sum r_i tokens_i p_i come to the
+targets, the ones nearest to equal rates r0 are fitted:
 
-    r <- max(0, r - p . M^-1 (s - target) / budget),   s = sum r_i tokens_i p_i
+    least  RIDGE / 2 * sum tokens_i (r_i - r0)^2 + 1/2 (s - target) M^-1 (s - target)
 
-A document's rate follows from its posteriors and the few vectors of the steps so far, so a
-step is one aggregation over the table of posteriors (a row of as many sums as domains goes to the
-driver) and no table of rates is ever rewritten or lost. Steps end when the residual is below
-``TOLERANCE`` of the budget in every domain, or falls by less than ``FALL`` (targets that no rates reach).
+with M, the token-weighted mean of p p', so that all domains, however small, weigh the same. The
+solution is r_i = max(0, r0 - p_i . x) for one vector x of as many numbers as domains, the least point of
+a convex dual function; Newton steps find it. A step is one aggregation over the table
+of posteriors that tries several lengths (their sums go to the driver), and no table
+of rates is ever rewritten or lost. Steps end when the residual is below ``TOLERANCE`` of the budget in every
+domain, or when the dual gradient vanishes: then the residual is the least that rates can
+reach, up to the ridge, however slowly it fell before. Where it is not below the tolerance, the ridge is
+lowered as far as ``LEAST`` to see whether the targets are within reach; if none of that meets them, they
+are not, and the first fit stays, as a lower ridge only puts huge rates on few texts.
 
 Defined cases: null or blank texts have 0 tokens and the classifier's prior; null labels and ids are not
 learned from; a target for a domain that no label names cannot be met and is left as residual;
@@ -36,7 +39,9 @@ DIM = 2**18
 PER_DOMAIN = 3000  # labelled texts of each domain that are learned from
 COMMON = 0.005  # features in a smaller share of the sample are not used
 TOLERANCE = 1e-3  # of the budget, for each domain
-FALL = 0.02  # least relative fall of the squared residual in a step
+RIDGE, LEAST = TOLERANCE**2, TOLERANCE**2 * 1e-6  # weight of unequal rates beside the squared residual
+EXACT = 1e-9  # dual gradient, whitened, at which a fit is optimal
+LENGTHS = (1.0, 0.5, 0.25, 0.125, 1 / 32, 1 / 256)  # of a Newton step, tried in one pass
 
 
 @dataclass
@@ -100,23 +105,26 @@ def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text")
     return linear.with_scores(docs, text_col, [("tokens", "bigint"), ("posteriors", "array<double>")], make)
 
 
-def _totals(table: DataFrame, fit: Fit, moments: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Expected domain tokens at the present rates, and with ``moments`` the sums of tokens p p'."""
+def _totals(table: DataFrame, fit: Fit, tried: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each vector that ``tried`` has as the only step: expected domain tokens, the sums of tokens p p' of
+    the rows with a rate, and of tokens r^2. Without ``tried`` for the rates as they are."""
     d = len(fit.domains)
+    fits = [fit] if tried is None else [Fit(fit.domains, fit.start, [x]) for x in tried]
+    size = d + d * d + 1
 
     def run(batches):
-        s, m = np.zeros(d), np.zeros((d, d))
+        sums = np.zeros((len(fits), size))
         for b in batches:
             p = b.column(1).flatten().to_numpy().reshape(-1, d)
             t = b.column(0).to_numpy().astype(float)
-            s += (fit.rates(p) * t) @ p
-            if moments:
-                m += (p * t[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array(range(d + d * d), pa.int32()), pa.array(np.r_[s, m.ravel()])], ["k", "x"])
+            for k, f in enumerate(fits):
+                r = f.rates(p)
+                sums[k] += np.r_[(r * t) @ p, ((p * (t * (r > 0))[:, None]).T @ p).ravel(), (t * r) @ r]
+        yield pa.RecordBatch.from_arrays([pa.array(range(sums.size), pa.int32()), pa.array(sums.ravel())], ["k", "x"])
 
     sums = dict(table.select("tokens", "posteriors").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x")).collect())
-    flat = np.array([sums.get(k, 0.0) for k in range(d + d * d)])
-    return flat[:d], flat[d:].reshape(d, d)
+    flat = np.array([sums.get(k, 0.0) for k in range(len(fits) * size)]).reshape(len(fits), size)
+    return [(x[:d], x[d:-1].reshape(d, d), float(x[-1])) for x in flat]
 
 
 def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], budget: float | None = None) -> Fit:
@@ -125,7 +133,7 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], b
     fit = Fit(domains, 1.0)
     if not domains:
         return fit
-    natural, moments = _totals(table, fit, moments=True)
+    ((natural, moments, _),) = _totals(table, fit)
     total = natural.sum()
     fit.natural, budget = natural, total if budget is None else budget
     share = np.array([weights.get(d, 0.0) for d in domains])
@@ -133,18 +141,49 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], b
     fit.reached = natural
     if not total:
         return fit
-    whiten = np.linalg.pinv(moments / total + 1e-9 * np.eye(len(domains)))
     fit.start = budget / total
-    fit.reached = natural * fit.start
-    last = np.inf
-    while True:
-        gap = (fit.reached - fit.target) / total
-        size = float(gap @ whiten @ gap)
-        if np.abs(gap).max() * total <= TOLERANCE * budget or size > last * (1 - FALL):
-            return fit
-        last = size
-        fit.steps.append(whiten @ gap)
-        fit.reached, _ = _totals(table, fit)
+    x, fit.reached = descend(lambda tried: _totals(table, fit, tried), moments, fit.target, total, TOLERANCE * budget)
+    fit.steps.append(x)
+    return fit
+
+
+def descend(totals, moments: np.ndarray, target: np.ndarray, total: float, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The vector x of the rates, and what they reach: ``most`` off the target, or as near as rates come.
+    ``totals`` maps vectors to what ``_totals`` gives."""
+    m = moments / total + 1e-9 * np.eye(len(target))
+    goal, root = target / total, np.linalg.cholesky(m)
+    met = lambda found: np.abs(found[0] - target).max() <= most
+
+    def value(x, found, ridge):
+        s, h, square = found
+        g = goal - s / total + ridge * (m @ x)
+        return square / total / 2 + x @ goal + ridge / 2 * x @ m @ x, g, h / total + ridge * m
+
+    def newton(x, found, ridge):
+        scale = 1.0
+        while True:
+            f, g, h = value(x, found, ridge)
+            if met(found) or np.linalg.norm(np.linalg.solve(root, g)) <= EXACT * goal.sum():
+                return x, found
+            step = -np.linalg.solve(h, g)
+            tried = [x + a * scale * step for a in LENGTHS]
+            seen = totals(tried)
+            fs = [value(y, s, ridge)[0] for y, s in zip(tried, seen, strict=True)]
+            k = int(np.argmin(fs))
+            if fs[k] < f:
+                x, found, scale = tried[k], seen[k], 1.0
+            elif scale * np.abs(step).max() <= 1e-12 * max(1.0, np.abs(x).max()):
+                return x, found  # no length is better in double precision
+            else:
+                scale *= LENGTHS[-1] / 2
+
+    x = np.zeros(len(target))
+    first = last = newton(x, totals([x])[0], RIDGE)
+    ridge = RIDGE / 100
+    while not met(last[1]) and ridge >= LEAST * 0.99:
+        last, ridge = newton(*last, ridge), ridge / 100
+    x, found = last if met(last[1]) else first
+    return x, found[0]
 
 
 def with_rates(table: DataFrame, fit: Fit) -> DataFrame:
@@ -168,7 +207,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget=
     model = classifier(docs, labelled, id_col, text_col)
     table = materialise(with_posteriors(docs.select(id_col, text_col), model, text_col).select(id_col, "tokens", "posteriors"))
     if callable(budget):
-        start, _ = _totals(table, Fit(model.domains, 1.0)) if model.domains else (np.zeros(0), None)
+        start = _totals(table, Fit(model.domains, 1.0))[0][0] if model.domains else np.zeros(0)
         budget = budget(dict(zip(model.domains, start.tolist(), strict=True)))
     fit = fit_rates(table, model.domains, weights, budget)
     return with_rates(table, fit), fit
