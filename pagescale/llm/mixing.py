@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,11 +201,16 @@ def with_rates(table: DataFrame, fit: Fit) -> DataFrame:
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("rate", T.DoubleType())]))
 
 
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget=None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Fit]:
-    """(id, tokens, posteriors, rate) of every document, and the fit. ``budget``: tokens, or
-    a function of the natural domain tokens (a dict) that gives them."""
+    """(id, text_key, tokens, posteriors, rate) of every document, and the fit. ``budget``: tokens, or
+    a function of the natural domain tokens (a dict) that gives them. ``text_key`` tells rows without an id apart."""
     model = classifier(docs, labelled, id_col, text_col)
-    table = materialise(with_posteriors(docs.select(id_col, text_col), model, text_col).select(id_col, "tokens", "posteriors"))
+    table = with_posteriors(docs.select(id_col, text_col), model, text_col)
+    table = materialise(table.select(id_col, text_key(text_col).alias("text_key"), "tokens", "posteriors"))
     if callable(budget):
         start = _totals(table, Fit(model.domains, 1.0))[0][0] if model.domains else np.zeros(0)
         budget = budget(dict(zip(model.domains, start.tolist(), strict=True)))
@@ -213,10 +218,15 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget=
     return with_rates(table, fit), fit
 
 
-def draw(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
-    """Each document as often as its rate says: the whole part always, the rest by a fixed draw of its id."""
-    u = (F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(2**30)) / F.lit(float(2**30)))
-    times = rates.select(id_col, F.col("rate").alias("_rate")).groupBy(id_col).agg(F.max("_rate").alias("_rate"))
+def draw(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", seed: int = 11, text_col: str = "text") -> DataFrame:
+    """Each document as often as its rate says: the whole part always, the rest by a fixed draw of its id.
+    Rows without an id are told apart by their texts, which stand for the id."""
+    own = F.when(F.col(id_col).isNull(), F.col("_key"))  # null where the id says which row it is
+    times = rates.withColumn("_key", F.col("text_key")).select(id_col, own.alias("_key"), F.col("rate").alias("_rate"))
+    times = times.groupBy(id_col, "_key").agg(F.max("_rate").alias("_rate"))
+    u = F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64("_key", F.lit(seed))).otherwise(F.xxhash64(id_col, F.lit(seed))), F.lit(2**30)) / F.lit(float(2**30))
     times = times.withColumn("_n", (F.floor("_rate") + F.when(u < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int"))
-    both = docs.join(times.where("_n > 0").select(id_col, "_n").hint("shuffle_hash"), id_col)
+    times = times.where("_n > 0").select(F.col(id_col).alias("_id"), F.col("_key").alias("_own"), "_n")
+    at = docs.withColumn("_key", text_key(text_col)).withColumn("_key", own)
+    both = at.join(times.hint("shuffle_hash"), at[id_col].eqNullSafe(times["_id"]) & at["_key"].eqNullSafe(times["_own"]))
     return both.withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).select(docs.columns)

@@ -1,8 +1,10 @@
-"""Rates for skewed targets against a brute-force solver."""
+"""Rates for skewed targets against a brute-force solver; null ids through the draw."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pagescale.llm import linear, mixing
 
 SKEWED = [([0.9, 0.08, 0.02], [0.2, 0.3, 0.5]), ([0.6, 0.3, 0.1], [0.97, 0.02, 0.01]), ([0.6, 0.3, 0.1], [0.1, 0.8, 0.1])]
@@ -61,3 +63,24 @@ def test_skewed_fit_over_a_table(spark):
     fit = mixing.fit_rates(table, ["a", "b", "c"], {"a": 0.2, "b": 0.3, "c": 0.5})
     assert np.abs(fit.reached - fit.target).max() <= mixing.TOLERANCE * t.sum()
     assert np.allclose((fit.rates(p) * t) @ p, fit.reached) and (fit.rates(p) >= 0).all()
+
+
+def test_rows_without_an_id_are_drawn(spark, docs):
+    d = docs((None, "a"), (None, "b"), (None, "c d"), (None, "c d"), (1, "a"), (2, None), (None, None))
+    rate = {"a": 2.0, "b": 0.0, "c d": 1.0, None: 3.0}
+    rates = d.select("doc_id", mixing.text_key("text").alias("text_key"), "text").collect()
+    rates = spark.createDataFrame([(r.doc_id, r.text_key, rate[r.text]) for r in rates], "doc_id long, text_key long, rate double")
+    got = mixing.draw(d, rates)
+    assert got.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(0, "a")] * 2 + [(0, "c d")] * 2 + [(1, "a")] * 2 + [(2, "")] * 3 + [(0, "")] * 3)
+
+
+def test_rows_without_an_id_pass_the_pipeline(spark):
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    some = table.where("doc_id < 20").withColumn("doc_id", F.lit(None).cast("bigint"))
+    mixed = corpus_pipeline.secret_scan(spark, corpus_pipeline.near_duplicates(spark, table.unionByName(some), sf), sf)
+    n = lambda out: {(r.doc_id is None, r.text): r["count"] for r in out.groupBy("doc_id", "text").count().collect()}
+    drawn = n(corpus_pipeline.mixture(spark, mixed, sf))
+    texts = {r.text for r in some.collect()}
+    assert len([t for t in texts if (True, t) in drawn]) >= 0.7 * len(texts)
