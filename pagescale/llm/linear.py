@@ -133,12 +133,21 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, labels: DataFra
     return got["label"].to_pylist(), [(f[a:b], c[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def inverse_frequency(rows: list[Counts], dim: int, least: float = 0.0) -> np.ndarray:
-    """Inverse document frequencies; 0 for features in fewer than the share ``least`` of the rows."""
-    df = np.zeros(dim)
-    for f, _ in rows:
-        df[f] += 1
-    return np.where(df >= least * len(rows), np.log((1 + len(rows)) / (1 + df)) + (least == 0), 0.0)
+FEWEST = 3  # rows of a class that a feature kept for that class alone is in
+
+
+def inverse_frequency(rows: list[Counts], dim: int, least: float = 0.0, y: np.ndarray | None = None) -> np.ndarray:
+    """Inverse document frequencies; 0 for features in fewer than the share ``least`` of the rows and,
+    with classes ``y``, of the rows of every class, so that a small class keeps its own marks beside large ones."""
+    df, kept = np.zeros(dim), np.zeros(dim, bool)
+    for own in [np.arange(len(rows))] if y is None else [np.flatnonzero(y == k) for k in np.unique(y)]:
+        part = np.zeros(dim)
+        for i in own:
+            part[rows[i][0]] += 1
+        df += part
+        kept |= part >= max(least * len(own), FEWEST)
+    kept |= df >= least * len(rows)
+    return np.where(kept, np.log((1 + len(rows)) / (1 + df)) + (least == 0), 0.0)
 
 
 def weigh(row: Counts, idf: np.ndarray, length: float = 1.0) -> Counts:

@@ -37,7 +37,7 @@ from pagescale.session import materialise
 
 DIM = 2**18
 PER_DOMAIN = 3000  # labelled texts of each domain that are learned from
-COMMON = 0.005  # features in a smaller share of the sample are not used
+COMMON = 0.005  # features in a smaller share of the sample and of every domain are not used
 TOLERANCE = 1e-3  # of the budget, for each domain
 RIDGE, LEAST = TOLERANCE**2, TOLERANCE**2 * 1e-6  # weight of unequal rates beside the squared residual
 EXACT = 1e-9  # dual gradient, whitened, at which a fit is optimal
@@ -81,7 +81,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", tex
     labels, rows = linear.labelled_sample(docs, id_col, text_col, known, per_domain, linear.WordFeatures(DIM))
     domains = sorted(set(labels))
     y = np.array([domains.index(x) for x in labels], int)
-    idf = linear.inverse_frequency(rows, DIM, COMMON)
+    idf = linear.inverse_frequency(rows, DIM, COMMON, y)
     rows = [linear.weigh(r, idf, 4.0) for r in rows]
     apart = np.random.default_rng(3).random(len(rows)) < 0.2
     fit = np.flatnonzero(~apart)

@@ -23,7 +23,7 @@ from pagescale.llm import linear
 
 DIM = 2**18
 PER_GRADE = 4000  # rated texts of each grade that are learned from
-COMMON = 0.01  # features in a smaller share of the sample are not used: they only name single texts
+COMMON = 0.01  # features in a smaller share of the sample and of every grade are not used: they only name single texts
 LENGTH = 4.0  # of a feature vector
 
 
@@ -84,7 +84,7 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     labels, rows = linear.labelled_sample(docs, id_col, text_col, known, per_grade, linear.WordFeatures(DIM))
     grades = sorted(set(labels))
     y = np.array([grades.index(x) for x in labels], int)
-    idf = linear.inverse_frequency(rows, DIM, COMMON)
+    idf = linear.inverse_frequency(rows, DIM, COMMON, y)
     if len(grades) < 2:
         return Model(grades, np.zeros(DIM, np.float32), np.zeros(0), idf.astype(np.float32))
     w, theta = fit([linear.weigh(r, idf, LENGTH) for r in rows], y, len(grades))
