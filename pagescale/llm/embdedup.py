@@ -10,10 +10,10 @@ pairs it rules out never are.
 Pairs meet in cells: the nearest of the centroids (a sample of the vectors, at most
 ``CENTROIDS`` of them, by hash order) is a vector's home, and it also visits every cell whose home
 vectors may be linked to it. With y's home c', w = c - c' and x in cell c, x.w >= 0 is needed; for
-a pair at the threshold x.w = cos y.w + sin u.w with u a direction orthogonal to y, whose
-u.w has a standard deviation of |w| / sqrt(d - 1). Cells within ``SIGMAS`` deviations are visited,
-so a link at the threshold itself is missed with a probability below 1e-4, and a closer one
-with less. Each link is counted once, in the home cell of the vector that counts it.
+a pair at the threshold x.w = cos y.w + sin u.w with u a direction orthogonal to y, so u.w is at
+most the length of the part of w that is orthogonal to y. Every cell that this bound leaves is
+visited, so no link is missed, whatever the vectors' dimension really is (for a threshold of 0 or more;
+every cell is visited below). Each link is counted once, in the home cell of the vector that counts it.
 
 Cells are cut in blocks of home and visiting rows, so a hot cell is many bounded tasks. A task
 returns a count for each home row and a spanning forest of its links, never the pairs. Equal
@@ -39,7 +39,6 @@ from pagescale.session import materialise
 
 CENTROIDS = 1024
 PER_CELL = 1024  # vectors for each centroid, until the limit is reached
-SIGMAS = 4.0
 HOME, VISIT = 2048, 8192  # rows of a block
 EXACT = 100_000  # pairs recomputed at a time
 
@@ -75,9 +74,8 @@ def _coded(vectors: DataFrame, centroids: dict[int, np.ndarray], threshold: floa
                 near = x @ c.T
                 home = near.argmax(1)
                 gap = near[np.arange(len(x)), home][:, None] - near  # y.c' - y.c
-                wide = np.sqrt(np.maximum(((c * c).sum(1)[home][:, None] + (c * c).sum(1)[None, :] - 2 * (c @ c.T)[home]), 0))
-                z = min(1.0, SIGMAS / np.sqrt(max(dim - 1, 1)))
-                visit = lean * gap <= side * z * wide + 1e-9
+                apart = ((c * c).sum(1)[home][:, None] + (c * c).sum(1)[None, :] - 2 * (c @ c.T)[home]) - gap * gap
+                visit = (lean * gap <= side * np.sqrt(np.maximum(apart, 0)) + 1e-7) | (lean < 0)  # apart: the part of w orthogonal to y, squared
                 visit[np.arange(len(x)), home] = True
                 row, cell = np.nonzero(visit)
                 at = pa.array(row)

@@ -131,6 +131,19 @@ def test_embedding_links(spark, monkeypatch, per_cell, home, visit):
     assert embdedup.link_duplicates(vectors(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("dim,inner", [(64, 3), (64, 64)])
+def test_embedding_links_of_low_inner_dimension(spark, monkeypatch, dim, inner):
+    """Many cells, vectors of a subspace: every link of every vector is met."""
+    monkeypatch.setattr(embdedup, "PER_CELL", 30)
+    rng = np.random.default_rng(inner)
+    x = (rng.standard_normal((1200, inner)) @ rng.standard_normal((inner, dim))).astype(np.float32)
+    got = embdedup.link_duplicates(vectors(spark, [(i, v.tolist(), None, None) for i, v in enumerate(x)])).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    want = classes(range(len(x)), [(a, b) for a, b in zip(*np.nonzero(near), strict=True) if b < a])
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(near[i].sum()) - 1, want[i]) for i in range(len(x))}
+
+
 @pytest.mark.parametrize("rows_in,queries_in,first", [(8192, 512, 256), (16, 4, 3)])
 def test_top_k(spark, monkeypatch, rows_in, queries_in, first):
     monkeypatch.setattr(topk, "ROWS", rows_in)
