@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescale.llm import bpe, embdedup, langid, licenses, mixing, quality, secrets, simhash, substring, topk
+from pagescale.llm import bpe, clustering, embdedup, langid, licenses, mixing, quality, secrets, simhash, substring, topk, webtext, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -125,3 +125,19 @@ def op6(spark, sf):
 @query("op8_licenses", licenses.check_sql())
 def op8(spark, sf):
     return licenses.best_license(table(spark, sf, "documents"))
+
+
+@query("op11_clustering", clustering.check_sql())
+def op11(spark, sf):
+    out, _ = clustering.cluster(table(spark, sf, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query("op12_whitening")
+def op12(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query("op13_html_extraction", webtext.check_sql())
+def op13(spark, sf):
+    return webtext.main_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
