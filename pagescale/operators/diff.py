@@ -255,27 +255,6 @@ def make_edits(diffs: DataFrame, margin: int = 4) -> DataFrame:
     return number_rows(got, PAIR, ["start1", "start2"], None, "edit").select(*PAIR, "edit", "start1", "start2", "old", "new", "before", "after")
 
 
-def apply_edits(docs: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
-    """Documents (keys, text) with their edits (keys, edit, start1, old, new) applied: the new
-    text and, per edit in order, whether the text stood there (T / F). Edits are in
-    source coordinates, so earlier ones do not move later ones; one whose old text is
-    not found is left out. The edits of a document are gathered beside its one text."""
-    e = edits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start1", "edit", "old", "new"))).alias("_e"))
-    # the source is renamed: inside a lambda "text" would mean the new column of that name
-    d = docs.withColumnRenamed("text", "_src").join(e, keys, "left").withColumn("_e", F.coalesce("_e", F.array().cast("array<struct<start1:bigint,edit:bigint,old:string,new:string>>")))
-
-    def stands(x):
-        return F.substring(F.col("_src"), (x["start1"] + 1).cast("int"), F.length(x["old"])) == x["old"]
-
-    def piece(x, i):
-        last = F.when(i > 0, F.get("_e", i - 1)["start1"] + F.length(F.get("_e", i - 1)["old"])).otherwise(0)
-        kept = F.substring(F.col("_src"), (last + 1).cast("int"), (x["start1"] - last).cast("int"))
-        return F.concat(kept, F.when(stands(x), x["new"]).otherwise(F.substring(F.col("_src"), (x["start1"] + 1).cast("int"), F.length(x["old"]))))
-    tail = F.when(F.size("_e") == 0, F.col("_src")).otherwise(F.substring(F.col("_src"), (F.try_element_at("_e", F.lit(-1))["start1"] + F.length(F.try_element_at("_e", F.lit(-1))["old"]) + 1).cast("int"), F.length("_src")))
-    return d.select(*keys, F.concat(F.array_join(F.transform("_e", piece), ""), tail).alias("text"),
-                    F.array_join(F.transform("_e", lambda x: F.when(stands(x), "T").otherwise("F")), "").alias("applied"))
-
-
 def _coords(start: Column, n: Column) -> Column:
     return F.when(n == 0, F.concat(start, F.lit(",0"))).when(n == 1, (start + 1).cast("string")).otherwise(F.concat(start + 1, F.lit(","), n))
 

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from pagescale.operators import diff as D
-from pagescale.operators.locate import locate_passages, word_grams
+from pagescale.operators.locate import apply_edits, locate_passages, word_grams
 from pagescale.plans import views as V
 from pagescale.plans.registry import query
 
@@ -175,7 +175,21 @@ def _(spark, sf):
     """The edits of a pair turn its first document into its second."""
     e = D.make_edits(diffs(spark, sf), 60)
     docs = V.doc_pairs(spark, sf).join(sources(spark, sf), "a")
-    return D.apply_edits(docs, e, ["a", "b"]).select("a", "b", "text")
+    return apply_edits(docs, e, ["a", "b"]).select("a", "b", "text")
+
+
+_PREFACE = "A preface that the edits were not made for."
+
+
+@query("set16_apply_edits_near", f"""
+    SELECT a, b, '{_PREFACE}' || chr(10) || y.text AS text, coalesce(repeat('T', (SELECT count(*) FROM edits e WHERE e.a = doc_pairs.a AND e.b = doc_pairs.b)), '') AS applied
+    FROM doc_pairs JOIN documents y ON y.doc_id = b""", *VIEWS, **DIFF, gs=_GS, span=_SPAN, edits=_EDITS)
+def _(spark, sf):
+    """The edits of a pair on a copy of its first document that begins with a preface: the first
+    edit is looked for, the others carry its offset."""
+    e = D.make_edits(diffs(spark, sf), 60)
+    docs = V.doc_pairs(spark, sf).join(sources(spark, sf), "a").withColumn("text", F.concat(F.lit(_PREFACE + "\n"), "text"))
+    return apply_edits(docs, e, ["a", "b"])
 
 
 def _co(s, n):
@@ -201,26 +215,42 @@ def _(spark, sf):
 _W = """SELECT ident, row_number() OVER (PARTITION BY ident ORDER BY j) AS k, w, p FROM (SELECT *, CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY ident ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS p
     FROM (SELECT ident, generate_subscripts(string_split(t, ' '), 1) AS j, unnest(string_split(t, ' ')) AS w FROM {0})) WHERE w <> ''"""
 _GR = "SELECT ident, p, gram FROM (SELECT ident, p, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS gram FROM {0} WINDOW o AS (PARTITION BY ident ORDER BY k)) WHERE gram IS NOT NULL"
-_LOC = dict(docs="SELECT doc_id AS ident, regexp_replace(translate(text, chr(10), ' '), '[^ -~]', '?', 'g') AS t FROM documents",
-            pats="SELECT item_id AS ident, regexp_replace(translate(text, chr(10), ' '), '[^ -~]', '?', 'g') AS t FROM benchmark",
-            dw=_W.format("docs"), pw=_W.format("pats"), dg=_GR.format("dw"), pg=_GR.format("pw"))
-
-
-def _ascii(df):
-    return df.withColumn("text", F.regexp_replace("text", "[^ -~\n]", "?"))
+_ONE = V.one_byte_sql("translate(text, chr(10), ' ')")
+_LOC = dict(docs=f"SELECT doc_id AS ident, {_ONE} AS t FROM documents", pats=f"SELECT item_id AS ident, {_ONE} AS t FROM benchmark",
+            dw=_W.format("docs"), dg=_GR.format("dw"))
+
+_LIMIT = 0.1  # errors a character
+# Windows by the pigeonhole rule, then the table of edit distances row by row over reversed texts.
+_NEAR = dict(
+    docs=f"SELECT doc_id AS ident, {_ONE} AS t FROM documents",
+    pats=f"SELECT *, m // (e + 1) AS q FROM (SELECT *, length(t) AS m, CAST(floor({_LIMIT} * length(t) + 1e-9) AS BIGINT) AS e FROM (SELECT item_id, {_ONE} AS t FROM benchmark))",
+    parts="SELECT item_id, m, e, q, o AS place, substr(t, o + 1, q) AS gram FROM (SELECT *, unnest(range(0, m - q + 1, q)) AS o FROM pats)",
+    hits="""SELECT item_id, ident, p.m, p.e, p.m // p.q - p.e AS need, 2 * p.e + 1 AS w, g.o - p.place AS d FROM
+        (SELECT ident, q, o, substr(t, o + 1, q) AS gram FROM (SELECT ident, t, q, unnest(range(0, length(t) - q + 1)) AS o FROM docs, (SELECT DISTINCT q FROM pats))) g JOIN parts p ON p.q = g.q AND p.gram = g.gram""",
+    wins="""SELECT item_id, ident, any_value(m) AS m, any_value(e) AS e, k * any_value(w) AS a, (k + 2) * any_value(w) AS b FROM
+        (SELECT *, unnest([CAST(floor(d / w) AS BIGINT), CAST(floor(d / w) AS BIGINT) - 1]) AS k FROM hits) GROUP BY item_id, ident, k HAVING count(*) >= any_value(need)""",
+    cut="""SELECT row_number() OVER () AS w, item_id, ident, wins.m, wins.e, greatest(a, 0) AS lo, reverse(p.t) AS p, reverse(substr(d.t, greatest(a, 0) + 1, b + wins.m + wins.e - greatest(a, 0))) AS t
+        FROM wins JOIN pats p USING (item_id) JOIN docs d USING (ident)""",
+    dp="""WITH RECURSIVE r(w, i, j, d) AS (SELECT w, 0::BIGINT, unnest(range(0, length(t) + 1)), 0::BIGINT FROM cut UNION ALL
+        SELECT w, i + 1, j, j + min(x - j) OVER (PARTITION BY w ORDER BY j ROWS UNBOUNDED PRECEDING) FROM
+          (SELECT r.w, i, j, least(d + 1, coalesce(lag(d) OVER (PARTITION BY r.w ORDER BY j) + CASE WHEN substr(p, i + 1, 1) = substr(t, j, 1) THEN 0 ELSE 1 END, i + 1)) AS x FROM r JOIN cut USING (w) WHERE i < m))
+        SELECT item_id, ident, lo + length(t) - j AS x, d, m FROM r JOIN cut USING (w) WHERE i = m AND d <= e""")
+
+
+def _one(df):
+    """Texts of one byte a character, line breaks kept."""
+    return df.withColumn("text", V.one_byte("text", "\n"))
 
 
 @query("join21_locate_passages", """
-    SELECT item_id, doc_id, x, errors, round(errors / n, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY errors / n, x) AS rk FROM
-      (SELECT item_id, doc_id, x, length(q.t) AS n, levenshtein(substr(d.t, x + 1, length(q.t)), q.t) AS errors FROM
-        (SELECT DISTINCT dg.ident AS doc_id, pg.ident AS item_id, greatest(dg.p - pg.p, 0) AS x FROM dg JOIN pg USING (gram)) s JOIN docs d ON d.ident = doc_id JOIN pats q ON q.ident = item_id)
-      WHERE errors / n <= 0.5) WHERE rk = 1""", **_LOC)
+    SELECT item_id, ident AS doc_id, x, d AS errors, round(d / m, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, ident ORDER BY d, x) AS rk FROM dp) WHERE rk = 1""", **_NEAR)
 def _(spark, sf):
-    got = locate_passages(_ascii(V.table(spark, sf, "benchmark")), _ascii(V.documents(spark, sf).select("doc_id", "text")))
+    """Every benchmark passage in every document, with up to one error in ten characters."""
+    got = locate_passages(_one(V.table(spark, sf, "benchmark")), _one(V.documents(spark, sf).select("doc_id", "text")), _LIMIT)
     return got.withColumn("score", F.round("score", 6))
 
 
 @query("join21_seeds", "SELECT ident AS doc_id, count(*) AS grams, min(p) AS first, max(p) AS last FROM dg GROUP BY ident", **_LOC)
 def _(spark, sf):
-    g = word_grams(_ascii(V.documents(spark, sf).select("doc_id", "text")), "doc_id", "text", 4)
+    g = word_grams(_one(V.documents(spark, sf).select("doc_id", "text")), "doc_id", "text", 4)
     return g.groupBy("doc_id").agg(F.count("*").alias("grams"), F.min("p").alias("first"), F.max("p").alias("last"))

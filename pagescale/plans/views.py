@@ -7,11 +7,14 @@ explode), so building them shuffles nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescale.session import spread
 
+# Accented letters and the control codes that stand for them where the check engine counts bytes.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßáâäçèéêíîñóöúüàùï"
+CODES = "".join(map(chr, [*range(1, 9), 11, 12, *range(14, 32)]))
 PAGE_WIDTH = 80  # columns of the page that a document's text is flowed into
 BLOCK_ROWS = 5
 
@@ -20,6 +23,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def one_byte(col, keep: str = "") -> Column:
+    """Text of one byte a character: each accented letter as its own control code, other characters
+    outside printable ASCII (and ``keep``) as '?'. Both sides of a comparison pass it, since the check engine counts edits in bytes."""
+    return F.translate(F.regexp_replace(col, f"[^ -~{LETTERS}{keep}]", "?"), LETTERS, CODES)
+
+
+def one_byte_sql(text: str) -> str:
+    codes = " || ".join(f"chr({ord(c)})" for c in CODES)
+    return f"translate(regexp_replace({text}, '[^ -~{LETTERS}]', '?', 'g'), '{LETTERS}', {codes})"
+
+
 def documents(spark, sf) -> DataFrame:
     return spread(table(spark, sf, "documents"), "doc_id")
 
@@ -97,14 +111,13 @@ def pivots(spark, sf) -> DataFrame:
 def ocr_pairs(spark, sf, of: str = "words") -> DataFrame:
     """Truth and a spoilt prediction: (id, k, lang, source, truth, pred).
 
-    Characters outside printable ASCII become '?' on both sides, since the
-    check engine counts edits in bytes.
+    Accented letters are one byte each (``one_byte``).
     """
     if of == "words":
         df = words(spark, sf).select("doc_id", "y", "k", "lang", "source", F.col("w").alias("t"))
     else:
         df = lines(spark, sf).select("doc_id", "y", F.lit(0).cast("bigint").alias("k"), "lang", "source", F.col("line").alias("t"))
-    df = df.withColumn("truth", F.regexp_replace("t", "[^ -~]", "?")).drop("t")
+    df = df.withColumn("truth", one_byte("t")).drop("t")
     return df.withColumn("pred", F.translate("truth", "lsoOe", "15 0"))
 
 
@@ -212,12 +225,12 @@ SQL = {
     "pivots": """
         SELECT page, pos, v FROM col_profile JOIN (SELECT page, max(y0) + 1 AS rows FROM page_words GROUP BY page) USING (page)
         WHERE v * 5 <= rows * 4""",
-    "word_pairs": """
+    "word_pairs": f"""
         SELECT *, translate(truth, 'lsoOe', '15 0') AS pred
-        FROM (SELECT doc_id, y, k, lang, source, regexp_replace(w, '[^ -~]', '?', 'g') AS truth FROM words)""",
-    "line_pairs": """
+        FROM (SELECT doc_id, y, k, lang, source, {one_byte_sql('w')} AS truth FROM words)""",
+    "line_pairs": f"""
         SELECT *, translate(truth, 'lsoOe', '15 0') AS pred
-        FROM (SELECT doc_id, y, CAST(0 AS BIGINT) AS k, lang, source, regexp_replace(line, '[^ -~]', '?', 'g') AS truth FROM lines)""",
+        FROM (SELECT doc_id, y, CAST(0 AS BIGINT) AS k, lang, source, {one_byte_sql('line')} AS truth FROM lines)""",
     "means": """
         SELECT label AS c, i, avg(CAST(v AS DOUBLE)) AS m
         FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS v FROM embeddings) GROUP BY label, i""",

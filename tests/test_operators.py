@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pagescale.operators import diff as D
 from pagescale.operators import graph as G
 from pagescale.operators import joins as J
+from pagescale.operators import locate
 from pagescale.operators import metrics as M
 from pagescale.operators import quality as Q
 from pagescale.operators import sequence as S
@@ -237,7 +238,7 @@ def test_diff_round_trips(spark):
     back = D.from_delta(D.to_delta(d.where("length(text) > 0")), src)
     assert back.exceptAll(d.where("length(text) > 0").select(back.columns)).isEmpty()
     e = D.make_edits(d, 1)
-    got = D.apply_edits(pairs.join(src, "a"), e, ["a", "b"]).collect()
+    got = locate.apply_edits(pairs.join(src, "a"), e, ["a", "b"]).collect()
     assert all(r["text"] == t[r["b"]] and "F" not in r["applied"] for r in got)
     assert D.edits_from_text(D.edits_to_text(e)).select(e.columns).exceptAll(e).isEmpty()
 
