@@ -22,20 +22,25 @@ SALTS = 16
 def _lookup(df: DataFrame, col: str, table: DataFrame, new: str) -> DataFrame:
     """Replace ``col`` by its value in ``table`` (k, v) where it has one. A hot value of
     ``col`` is spread over SALTS keys and the table repeated for each, as a component may
-    hold a third of all nodes."""
+    hold a third of all vertices. The tables grow with the input, so none is broadcast."""
     d = df.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
-    t = table.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    t = table.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))).hint("merge")
     j = d.join(t, (d[col] == t["k"]) & (d["_s"] == t["_s"]), "left").drop(t["_s"]).drop("_s")
     return j.withColumn(new, F.coalesce("v", col)).drop("k", "v")
 
 
+def _follow(step: DataFrame, hop: DataFrame) -> DataFrame:
+    """Pointers (k, v), each moved on from v by ``hop``."""
+    return _lookup(step.withColumnsRenamed({"k": "_k", "v": "_p"}), "_p", hop, "_q").select(F.col("_k").alias("k"), F.col("_q").alias("v"))
+
+
 def _to_roots(hop: DataFrame) -> DataFrame:
     """Pointers (k, v) followed to their ends by doubling, twice per written round."""
     moving = True
     while moving:
         step = hop
         for _ in range(2):
-            step = _lookup(step.withColumnsRenamed({"k": "_k", "v": "_p"}), "_p", step, "_q").select(F.col("_k").alias("k"), F.col("_q").alias("v"))
+            step = _follow(step, step)
         step = materialise(step, hop)
         moving = not step.select(F.col("v").alias("k")).join(step, "k", "left_semi").isEmpty()  # some end still points on
         hop = step
@@ -48,19 +53,23 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ``nodes`` has ``id`` (any orderable type, also a struct), ``edges`` u and v. Contraction:
     each vertex points to its smallest neighbour (a folded minimum, so hubs cost nothing),
     pointers are followed to their ends by doubling, edges are renamed and made distinct. The vertices that
-    still have edges shrink at least by half a round, so the loop ends by itself; the pointer
-    tables of all rounds are applied to the nodes in one chain of joins at the end.
+    still have edges shrink at least by half a round, so the loop ends by itself. Rounds only touch vertices
+    with edges; their pointers become one written table that meets the nodes once at the end.
     """
     e = materialise(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    labels = nodes.select("id", F.col("id").alias("label"))
+    ends = None
     while not e.isEmpty():
         both = e.select(F.inline(F.array(F.struct(F.col("u").alias("k"), F.col("v").alias("n")), F.struct(F.col("v").alias("k"), F.col("u").alias("n")))))
         hop = both.groupBy("k").agg(F.min("n").alias("_m")).select("k", F.least("k", "_m").alias("v"))
         hop = _to_roots(materialise(hop.where("k <> v")))
-        labels = _lookup(labels, "label", hop, "_n").select("id", F.col("_n").alias("label"))
         left = _lookup(_lookup(e.withColumnsRenamed({"u": "a", "v": "b"}), "a", hop, "u").select("u", "b"), "b", hop, "w").where("u <> w")
         e = materialise(left.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct(), e)
-    return labels
+        # the vertices of a round are roots of the ones before, so no key comes twice
+        ends = hop if ends is None else materialise(_follow(ends, hop).unionByName(hop), ends, hop)
+    out = nodes.select("id")
+    if ends is None:
+        return out.withColumn("label", F.col("id"))
+    return out.join(ends.hint("merge"), out["id"] == ends["k"], "left").select("id", F.coalesce("v", "id").alias("label"))
 
 
 def cell_runs(cells: DataFrame, keys: list[str]) -> DataFrame:
