@@ -63,7 +63,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
         def run(texts):
             names, scores = [], []
-            for t in texts:
+            for t in texts.to_pylist():
                 row = features(t)
                 p = own.probabilities(row) if len(row[0]) and own.classes else np.zeros(0)
                 names.append(own.classes[int(p.argmax())] if len(p) else NONE)

@@ -7,10 +7,12 @@ only their sparse counts are collected. Everything that scores documents runs ov
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,39 +25,87 @@ class WordFeatures:
     """Hashed counts of words (lower case, without outer punctuation), word shapes and repeats.
 
     A shape keeps the kind of each run of characters: letters by case, digits, and other
-    characters as they are, so mark-up, shouting and table bars are seen on unknown words too.
+    characters as they are, so mark-up, shouting and table bars are seen on unknown words too. Words are
+    split, and each different one looked up, for a whole batch of texts.
     """
 
     KEEP = 200_000  # words a worker remembers
+    ROWS = 2048  # texts at a time
+    CELLS = 2**24  # texts x features counted in one array
 
     def __init__(self, dim: int):
-        self.dim, self.known = dim, {}
+        self.dim, self.known, self.used = dim, {}, None
+        self.repeat = xxhash.xxh32_intdigest("repeat") % dim
 
     def _word(self, w: str) -> tuple[int, int]:
-        shape, last = [], ""
-        for c in w[:64]:
-            k = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
-            if k != last:
-                shape.append(k)
-                last = k
+        kinds = ("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in w)
         h = xxhash.xxh32_intdigest
         core = w.strip(".,;:!?\"'()[]{}|*#$%&@<>/\\-_=+~`^").lower()
-        return h("w " + core) % self.dim, h("s " + "".join(shape)) % self.dim
-
-    def __call__(self, text: str | None) -> Counts:
-        words = text.split() if text else []
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0)
+        return h("w " + core) % self.dim, h("s " + "".join(k for k, _ in itertools.groupby(kinds))) % self.dim
+
+    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The text of each word, and the features of the word and its shape."""
+        words = pc.utf8_split_whitespace(texts)
+        row = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+        flat = pc.list_flatten(words)
+        some = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        row, flat = row[some], flat.filter(pa.array(some)).dictionary_encode()
         if len(self.known) > self.KEEP:
             self.known.clear()
-        known = self.known
-        for w in set(words):
+        known, names = self.known, flat.dictionary.to_pylist()
+        for w in names:
             if w not in known:
                 known[w] = self._word(w)
-        ids = np.array([known[w] for w in words], np.int64)
-        same = int((ids[1:, 0] == ids[:-1, 0]).sum())
-        feats = np.r_[ids.ravel(), np.full(same, xxhash.xxh32_intdigest("repeat") % self.dim)]
-        return _count(feats, self.dim)
+        return row, np.array([known[w] for w in names], np.int64).reshape(-1, 2)[flat.indices.to_numpy()]
+
+    def _features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts and features, one for each that is counted, and the words of each text."""
+        row, ids = self.codes(texts)
+        same = (ids[1:, 0] == ids[:-1, 0]) & (row[1:] == row[:-1])
+        again = row[1:][same]
+        return np.r_[row, row, again], np.r_[ids[:, 0], ids[:, 1], np.full(len(again), self.repeat)], np.bincount(row, minlength=len(texts))
+
+    def counts(self, texts: pa.Array) -> list[Counts]:
+        out = []
+        for lo in range(0, len(texts), self.ROWS):
+            part = texts[lo : lo + self.ROWS]
+            row, f, _ = self._features(part)
+            cell, c = np.unique(row * self.dim + f, return_counts=True)
+            ends = np.searchsorted(cell, np.arange(len(part) + 1) * self.dim)
+            out += [(cell[a:b] % self.dim, c[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return out
+
+    def __call__(self, text: str | None) -> Counts:
+        return self.counts(pa.array([text], pa.string()))[0]
+
+    def scores(self, texts: pa.Array, idf: np.ndarray, length: float, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``weigh`` of each text times ``weights`` (dim x classes), and the words of each text."""
+        if self.used is None:
+            self.used = np.flatnonzero(idf > 0)
+            self.place = np.full(self.dim, -1)
+            self.place[self.used] = np.arange(len(self.used))
+        k = max(1, len(self.used))
+        own_idf = idf[self.used].astype(float)
+        own_weights = (weights[:, None] if weights.ndim == 1 else weights)[self.used].astype(float)
+        out, words = [np.zeros((0, own_weights.shape[1]))], [np.zeros(0, np.int64)]
+        for lo in range(0, len(texts), self.ROWS):
+            part = texts[lo : lo + self.ROWS]
+            row, f, n = self._features(part)
+            f = self.place[f]
+            cell = row[f >= 0] * k + f[f >= 0]
+            if len(part) * k <= self.CELLS:
+                c = np.bincount(cell, minlength=1)
+                cell = np.flatnonzero(c)
+                c = c[cell]
+            else:
+                cell, c = np.unique(cell, return_counts=True)
+            row, f = np.divmod(cell, k)
+            v = (1 + np.log(c)) * own_idf[f] if len(cell) else np.zeros(0)
+            size = np.sqrt(np.bincount(row, v * v, len(part)))
+            v = v * length / np.maximum(size, 1e-300)[row]
+            out.append(np.stack([np.bincount(row, v * own_weights[f, j], len(part)) for j in range(own_weights.shape[1])], 1) if own_weights.shape[1] else np.zeros((len(part), 0)))
+            words.append(n)
+        return np.concatenate(out), np.concatenate(words)
 
 
 class CharFeatures:
@@ -111,11 +161,15 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, labels: DataFra
     label). Ids are picked first, without texts; the texts then meet a bounded broadcast."""
     ids = labels.where("id is not null and label is not null").distinct().join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    picked = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_class).drop("k")
+    # a label of very many rows is cut first where its hash order surely has enough, so no task ranks them all
+    enough = per_class + 8 * per_class**0.5 + 40
+    size = ids.groupBy("label").agg(F.count("*").alias("all"))
+    near = (F.xxhash64("id") / F.lit(2.0**64) + 0.5) * F.col("all") < enough
+    picked = ids.join(size, "label").where(near).drop("all").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_class).drop("k").select("id", "label")
 
     def run(batches):
         for b in batches:
-            found = [features(t.as_py()) for t in b.column(2)]
+            found = features.counts(b.column(2)) if isinstance(features, WordFeatures) else [features(t.as_py()) for t in b.column(2)]
             ends = np.cumsum([0] + [len(f[0]) for f in found])
             at = pa.array(ends, pa.int32())
             feats = pa.array(np.concatenate([np.zeros(0, np.int32), *[f[0] for f in found]]).astype(np.int32))
@@ -209,7 +263,7 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
 
 def with_scores(docs: DataFrame, text_col: str, added: list[tuple[str, str]], score: Callable[[], Callable[[list], list]]) -> DataFrame:
     """``docs`` with columns added from its texts (older columns of those names go). ``score``
-    makes a worker's function from texts to one list per added column."""
+    makes a worker's function from an Arrow array of texts to one list per added column."""
     names = [n for n, _ in added]
     base = docs.drop(*names)
     columns, at = [*base.columns, *names], base.columns.index(text_col)
@@ -218,7 +272,7 @@ def with_scores(docs: DataFrame, text_col: str, added: list[tuple[str, str]], sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = score()
         for b in batches:
-            more = own(b.column(at).cast(pa.string()).to_pylist())
+            more = own(b.column(at).cast(pa.string()))
             types = [{"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_()}.get(t) for _, t in added]
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(m, t) for m, t in zip(more, types, strict=True)]], columns)
 

@@ -70,9 +70,10 @@ class Classifier:
     idf: np.ndarray
     temperature: float
 
-    def posteriors(self, row: linear.Counts) -> np.ndarray:
-        f, v = linear.weigh(row, self.idf, 4.0)
-        return linear.softmax((v @ self.weights[f] + self.bias) / self.temperature)
+    def posteriors_of(self, texts: pa.Array, features: linear.WordFeatures) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, and its number of words."""
+        s, words = features.scores(texts, self.idf, 4.0, self.weights)
+        return (linear.softmax((s + self.bias) / self.temperature) if self.domains else s), words
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_domain: int = PER_DOMAIN) -> Classifier:
@@ -98,7 +99,8 @@ def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text")
         own, features = sent.value, linear.WordFeatures(DIM)
 
         def run(texts):
-            return [[len(t.split()) if t else 0 for t in texts], [own.posteriors(features(t)).tolist() if own.domains else [] for t in texts]]
+            p, words = own.posteriors_of(texts, features)
+            return [words, p.tolist()]
 
         return run
 
@@ -205,28 +207,28 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget=None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Fit]:
-    """(id, text_key, tokens, posteriors, rate) of every document, and the fit. ``budget``: tokens, or
-    a function of the natural domain tokens (a dict) that gives them. ``text_key`` tells rows without an id apart."""
+def mix(docs: DataFrame, labelled: DataFrame, weights, budget=None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Fit]:
+    """(id, text_key, tokens, posteriors, rate) of every document, and the fit. ``weights`` (shares by domain) and
+    ``budget`` (tokens) can be functions of the natural domain tokens (a dict). ``text_key`` tells rows of one id apart."""
     model = classifier(docs, labelled, id_col, text_col)
     table = with_posteriors(docs.select(id_col, text_col), model, text_col)
     table = materialise(table.select(id_col, text_key(text_col).alias("text_key"), "tokens", "posteriors"))
-    if callable(budget):
+    if callable(budget) or callable(weights):
         start = _totals(table, Fit(model.domains, 1.0))[0][0] if model.domains else np.zeros(0)
-        budget = budget(dict(zip(model.domains, start.tolist(), strict=True)))
+        natural = dict(zip(model.domains, start.tolist(), strict=True))
+        weights, budget = (x(natural) if callable(x) else x for x in (weights, budget))
     fit = fit_rates(table, model.domains, weights, budget)
     return with_rates(table, fit), fit
 
 
-def draw(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", seed: int = 11, text_col: str = "text") -> DataFrame:
-    """Each document as often as its rate says: the whole part always, the rest by a fixed draw of its id.
-    Rows without an id are told apart by their texts, which stand for the id."""
-    own = F.when(F.col(id_col).isNull(), F.col("_key"))  # null where the id says which row it is
-    times = rates.withColumn("_key", F.col("text_key")).select(id_col, own.alias("_key"), F.col("rate").alias("_rate"))
-    times = times.groupBy(id_col, "_key").agg(F.max("_rate").alias("_rate"))
-    u = F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64("_key", F.lit(seed))).otherwise(F.xxhash64(id_col, F.lit(seed))), F.lit(2**30)) / F.lit(float(2**30))
-    times = times.withColumn("_n", (F.floor("_rate") + F.when(u < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int"))
-    times = times.where("_n > 0").select(F.col(id_col).alias("_id"), F.col("_key").alias("_own"), "_n")
-    at = docs.withColumn("_key", text_key(text_col)).withColumn("_key", own)
-    both = at.join(times.hint("shuffle_hash"), at[id_col].eqNullSafe(times["_id"]) & at["_key"].eqNullSafe(times["_own"]))
-    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).select(docs.columns)
+def draw(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", seed: int = 11, text_col: str = "text", most: int | None = None) -> DataFrame:
+    """Each document as often as its rate says: the whole part always, the rest by a fixed draw of its id; with
+    ``most`` no more often than that. A row's rate is that of its id and text; rows without an id are drawn by their texts."""
+    key, fixed = F.col("key"), F.lit(seed)
+    times = rates.select(F.col(id_col).alias("id"), F.col("text_key").alias("key"), "rate").groupBy("id", "key").agg(F.max("rate").alias("rate"))
+    u = F.pmod(F.when(F.col("id").isNull(), F.xxhash64(key, fixed)).otherwise(F.xxhash64("id", fixed)), F.lit(2**30)) / F.lit(float(2**30))
+    n = F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    times = times.withColumn("n", (n if most is None else F.least(n, F.lit(most))).cast("int")).where("n > 0").toDF("id2", "key2", "rate", "n")
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.struct(*docs.columns).alias("row"))
+    both = rows.join(times.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("id2")) & F.col("key").eqNullSafe(F.col("key2")))
+    return both.select("row", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")

@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,11 @@ class Model:
         f, v = linear.weigh(row, self.idf, LENGTH)
         return _sigmoid(v @ self.weights[f] - self.theta)
 
+    def tails_of(self, texts: pa.Array, features: linear.WordFeatures) -> np.ndarray:
+        """``tails`` of each text."""
+        s, _ = features.scores(texts, self.idf, LENGTH, self.weights)
+        return _sigmoid(s - self.theta[None, :])
+
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
@@ -101,7 +107,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         steps = np.diff(own.grades)
 
         def run(texts):
-            p = [own.tails(features(t)) for t in texts]
+            p = own.tails_of(texts, features)
             first = own.grades[0] if own.grades else None
             expected = [None if first is None else float(first + (x * steps).sum()) for x in p]
             return [expected, *[[float(x[k]) for x in p] for k in range(len(tails))]]
