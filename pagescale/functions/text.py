@@ -298,13 +298,41 @@ def common_suffix_len(a, b) -> Column:
     return common_prefix_len(F.reverse(_as_col(a)), F.reverse(_as_col(b)))
 
 
+SHORT = 64  # overlap lengths that are all tried in the JVM
+
+
+def overlap_len(a: str, b: str) -> int:
+    """Longest suffix of ``a`` that is a prefix of ``b``: how far ``b`` is matched when ``a`` ends, with the
+    borders of b's beginnings to fall back on, so in one pass over each."""
+    n = min(len(a), len(b))
+    a, b = a[len(a) - n :], b[:n]
+    border, k = [0] * n, 0
+    for i in range(1, n):
+        while k and b[i] != b[k]:
+            k = border[k - 1]
+        k += b[i] == b[k]
+        border[i] = k
+    k = 0
+    for c in a:
+        while k and c != b[k]:
+            k = border[k - 1]
+        k += c == b[k]
+    return k
+
+
 def common_overlap_len(a, b) -> Column:
-    """Longest suffix of ``a`` that is a prefix of ``b``: candidates are the places
-    where b's first character stands in a, checked shortest start first."""
+    """Longest suffix of ``a`` that is a prefix of ``b``. Where the shorter one has ``SHORT`` characters at most, all
+    lengths are tried in the JVM; longer pairs go to an Arrow function that takes linear time. 0 where one is null."""
     a, b = _as_col(a), _as_col(b)
     n = F.least(F.length(a), F.length(b))
     sizes = F.filter(F.sequence(n, F.lit(0)), lambda k: F.right(a, k) == F.left(b, k))
-    return F.when(n > 0, F.element_at(sizes, 1)).otherwise(F.lit(0)).cast("bigint")
+
+    @F.pandas_udf("bigint")
+    def of_long(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or t is None else overlap_len(s, t) for s, t in zip(x, y, strict=True)], dtype="Int64")
+
+    long = of_long(F.when(n > SHORT, a), F.when(n > SHORT, b))
+    return F.coalesce(F.when(n > SHORT, long).when(n > 0, F.get(sizes, F.lit(0))), F.lit(0)).cast("bigint")
 
 
 def clean_names(col) -> Column:
@@ -317,8 +345,8 @@ def strip_names(col) -> Column:
 
 # ---- JIS codes ------------------------------------------------------------
 
-def jis_table(spark: SparkSession) -> DataFrame:
-    """(code, ch) of the 94 x 94 plane, by the public ISO-2022-JP codec."""
+def jis_plane() -> list[tuple[str, str]]:
+    """(code, character) of the 94 x 94 plane, by the public ISO-2022-JP codec."""
     rows = []
     for hi in range(0x21, 0x7F):
         for lo in range(0x21, 0x7F):
@@ -326,7 +354,11 @@ def jis_table(spark: SparkSession) -> DataFrame:
                 rows.append((f"{hi:02x}{lo:02x}", (b"\x1b$B" + bytes([hi, lo])).decode("iso2022_jp")))
             except UnicodeDecodeError:
                 continue
-    return spark.createDataFrame(rows, "jis string, ch string")
+    return rows
+
+
+def jis_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(jis_plane(), "jis string, ch string")
 
 
 def jis_to_unicode(df: DataFrame, code: str, extra: DataFrame | None = None) -> DataFrame:

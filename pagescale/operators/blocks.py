@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagescale.session import materialise
+
 
 @dataclass(frozen=True)
 class Scan:
@@ -118,6 +120,17 @@ def number_rows(df: DataFrame, keys, order, block: Column | None, out: str = "rn
     return scan(df, keys, order, block, **{out: Scan("sum", F.lit(1).cast("bigint"))})
 
 
+def rank_all(df: DataFrame, order, out: str = "rn") -> DataFrame:
+    """1-based rank of every row by a total order, without a task that sees them all: rows are dealt to
+    partitions by ranges of the order and written with their place in the partition; a table of one row per
+    partition says how many stand before it."""
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    d = materialise(d.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit(2**33 - 1))))
+    size = d.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = size.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    return d.join(ahead, "_part").withColumn(out, F.col("_ahead") + F.col("_at") + 1).drop("_part", "_at", "_ahead")
+
+
 def islands(df: DataFrame, keys, start: str, end: str, order, block: Column | None,
             gap: int = 0, out: str = "island") -> DataFrame:
     """Number maximal chains of intervals: a row opens a new chain when its start

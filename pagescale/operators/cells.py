@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagescale.functions.numeric import with_group
+from pagescale.operators.blocks import Scan, scan
 
 
 def projection(cells: DataFrame, key: str, axis: str, side: str | None = None, out: str = "v") -> DataFrame:
@@ -68,20 +71,57 @@ def propagate_labels(regions: DataFrame, labels: DataFrame, keys: list[str], con
     return regions.join(got, keys + ["label"], "left").withColumn("label", F.coalesce(new, F.lit(0))).drop("_top", "_low")
 
 
+def _row_distances(seeds: list[dict], width: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of a row within the limit of a seed and their nearest label. A seed stands in its
+    column with the squared distance from the row; steps aside go on only while they can still bring a seed nearer."""
+    names, rank = np.unique([s["label"] for s in seeds], return_inverse=True)
+    k, far = len(names), int(limit * limit) + 1
+    cost = np.full(width, far * k + k)
+    np.minimum.at(cost, [s["x"] for s in seeds], np.array([s["d2"] for s in seeds]) * k + rank)
+    best, step = cost.copy(), 1
+    while step < width and step * step <= min(best.max() // k, far):
+        aside = step * step * k
+        np.minimum(best[step:], cost[:-step] + aside, out=best[step:])
+        np.minimum(best[:-step], cost[step:] + aside, out=best[:-step])
+        step += 1
+    x = np.flatnonzero(best // k < limit * limit)
+    return x, names[best[x] % k]
+
+
 def spread_labels(cells: DataFrame, keys: list[str], maxdist: float, bounds: DataFrame | None = None) -> DataFrame:
     """Each cell of the page gets the label of the nearest labelled cell closer than
-    ``maxdist`` (ties: the smaller label). A labelled cell offers itself to the cells of its disc,
-    and the offers fold before the shuffle: no cell's neighbours are gathered. The
-    work per cell is the disc's area, so this is for small radii."""
-    r = int(maxdist)
-    disc = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx < maxdist * maxdist]
-    offers = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(dy * dy + dx * dx).alias("d2")) for dy, dx in disc]))
+    ``maxdist`` (ties: the smaller label), by an exact distance transform in two passes.
+
+    Along a column a labelled cell is nearest to the rows up to the middle between it and its neighbours, which a scan
+    finds, so a cell of the page gets one offer at most from its own column (two where the middle ties). The offers of
+    a row, as many as the page is wide, then spread sideways. The rows that pass are linear in the page's cells,
+    whatever the distance. ``bounds``: (keys, _h, _w), the last row and column; else those of the cells."""
+    c = F.col
     if bounds is None:
         bounds = cells.groupBy(*keys).agg(F.max("y").alias("_h"), F.max("x").alias("_w"))
-    got = cells.select(*keys, "y", "x", "label", offers.alias("_o")).select(
-        *keys, (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"), F.struct(F.col("_o.d2").alias("d2"), "label").alias("_c"))
-    near = got.where("y >= 0 and x >= 0").groupBy(*keys, "y", "x").agg(F.min("_c").alias("_c"))
-    return near.join(bounds, keys).where("y <= _h and x <= _w").select(*keys, "y", "x", F.col("_c.label").alias("label"))
+    one = cells.where("y >= 0 and x >= 0").groupBy(*keys, "y", "x").agg(F.min("label").alias("label"))
+    near = scan(one, [*keys, "x"], ["y"], F.floor(c("y") / 4096), _up=Scan("prev", c("y")), _down=Scan("next", c("y")))
+    reach = F.lit(int(maxdist))
+    first = F.greatest(c("y") - reach, F.coalesce(F.ceil((c("y") + c("_up")) / 2), F.lit(0)), F.lit(0))
+    last = F.least(c("y") + reach, F.coalesce(F.floor((c("y") + c("_down")) / 2), c("_h")), c("_h"))
+    near = near.join(bounds.select(*keys, "_h", "_w"), keys).where(c("x") <= c("_w")).withColumn("_a", first.cast("bigint")).withColumn("_b", last.cast("bigint")).where("_a <= _b")
+    offers = near.select(*keys, c("y").alias("_y"), "x", "label", "_w", F.explode(F.sequence("_a", "_b")).alias("y"))
+    d = c("y") - c("_y")
+    rows = offers.groupBy(*keys, "y").agg(F.max("_w").alias("_w"), F.collect_list(F.struct(c("x").cast("bigint").alias("x"), (d * d).cast("bigint").alias("d2"), c("label").cast("bigint").alias("label"))).alias("_s"))
+
+    def run(batches):
+        for b in batches:
+            at, xs, labels = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, (w, seeds) in enumerate(zip(b.column(len(keys) + 1).to_pylist(), b.column(len(keys) + 2).to_pylist(), strict=True)):
+                x, label = _row_distances(seeds, w + 1, maxdist)
+                at.append(np.full(len(x), i))
+                xs.append(x)
+                labels.append(label)
+            take = pa.array(np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(keys) + 1)), pa.array(np.concatenate(xs)), pa.array(np.concatenate(labels))], [*keys, "y", "x", "label"])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in [*keys, "y"])
+    return rows.select(*keys, "y", c("_w").cast("bigint").alias("_w"), "_s").mapInArrow(run, f"{kinds}, x bigint, label bigint")
 
 
 def neighbor_labels(cells: DataFrame, keys: list[str]) -> DataFrame:

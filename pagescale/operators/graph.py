@@ -123,12 +123,19 @@ def merge_intersected(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
 def sweep_pairs(boxes: DataFrame, keys: list[str], axis: str, block: int = 4096) -> DataFrame:
     """Neighbours of a sweep: in each column (axis x) or row (axis y) position the next box
-    along the other axis. A box stands at every position it covers, so the pairs are the
-    ones that see each other, not all overlapping ones. (keys, a, b) distinct."""
-    along = "y" if axis == "x" else "x"
-    d = boxes.select(*keys, "id", f"{along}0", F.explode(F.expr(f"sequence({axis}0, greatest({axis}0, {axis}1 - 1))")).alias("_at"))
-    d = scan(d, list(keys) + ["_at"], [f"{along}0", "id"], F.floor(F.col(f"{along}0") / block), _n=Scan("next", F.col("id")))
-    return d.where(F.col("_n").isNotNull()).select(*keys, F.col("id").alias("a"), F.col("_n").alias("b")).distinct()
+    along the other axis, so the pairs are the ones that see each other, not all overlapping ones.
+    Between two places where a box of the page begins or ends nothing changes, so a box stands once for each
+    such stretch it covers, not for each position. (keys, a, b) distinct."""
+    along, c = "y" if axis == "x" else "x", F.col
+    end = F.greatest(f"{axis}1", c(f"{axis}0") + 1)
+    d = boxes.select(*keys, "id", f"{along}0", c(f"{axis}0").alias("_from"), end.alias("_to"))
+    places = d.select(*keys, F.explode(F.array("_from", "_to")).alias("_p")).distinct()
+    places = number_rows(places, keys, ["_p"], F.floor(c("_p") / block), "_k")
+    for side in ("_from", "_to"):
+        d = d.join(places.withColumnsRenamed({"_p": side, "_k": f"{side}k"}), list(keys) + [side])
+    d = d.select(*keys, "id", f"{along}0", F.explode(F.sequence("_fromk", c("_tok") - 1)).alias("_at"))
+    d = scan(d, list(keys) + ["_at"], [f"{along}0", "id"], F.floor(c(f"{along}0") / block), _n=Scan("next", c("id")))
+    return d.where(c("_n").isNotNull()).select(*keys, c("id").alias("a"), c("_n").alias("b")).distinct()
 
 
 def group_boxes(boxes: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagescale.operators.blocks import number_rows
+from pagescale.operators.blocks import number_rows, rank_all
 
 SALTS = 64
 
@@ -82,15 +82,15 @@ def sample_batch(df: DataFrame, ident: list[str], n: int, seed: int = 0) -> Data
     return df.withColumn("_h", hash_key(ident, seed)).orderBy("_h").limit(n).drop("_h")
 
 
-def split_dataset(df: DataFrame, ident: list[str], frac: float, mode: str = "prefix", seed: int = 0, block: Column | None = None) -> DataFrame:
+def split_dataset(df: DataFrame, ident: list[str], frac: float, mode: str = "prefix", seed: int = 0) -> DataFrame:
     """Adds ``split``. prefix: the first floor(n * frac) rows by id are train, the rest
     test. random: the id's hash below 1 - frac is train, so ``frac`` is the test share."""
     if mode == "random":
         h = F.conv(F.substring(hash_key(ident, seed), 1, 8), 16, 10).cast("double") / F.lit(float(2 ** 32))
         return df.withColumn("split", F.when(h < 1 - frac, "train").otherwise("test"))
     total = df.agg(F.count("*").alias("n")).scalar()
-    d = number_rows(df.withColumn("_one", F.lit(1)), ["_one"], ident, block, "_rn")
-    return d.withColumn("split", F.when(F.col("_rn") <= F.floor(total * F.lit(frac)), "train").otherwise("test")).drop("_rn", "_one")
+    d = rank_all(df, ident, "_rn")
+    return d.withColumn("split", F.when(F.col("_rn") <= F.floor(total * F.lit(frac)), "train").otherwise("test")).drop("_rn")
 
 
 def select_corpus(lines: DataFrame, ident: list[str], text: str, vocab: DataFrame, n: int, mode: str = "score", seed: int = 0) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescale.functions import numeric as N
+from pagescale.session import materialise
 
-MAX_CLASSES = 50_000  # a model is carried to each task whole; beyond this it is refused
+MAX_CLASSES = 50_000  # of a block of a model, which is carried to each task whole
 
 
 def vector_size(df: DataFrame, vec: str) -> int:
@@ -27,13 +28,12 @@ def centroids(df: DataFrame, label: str, vec: str, dims: int | None = None) -> D
     return df.groupBy(F.col(label).alias("class")).agg(mean.alias("centroid"))
 
 
-def as_model(cents: DataFrame) -> DataFrame:
-    """All centroids as one array value; more than MAX_CLASSES is an error, since
-    the value is carried to every task."""
-    n = F.count("*")
-    model = F.sort_array(F.collect_list(F.struct("class", "centroid")))
-    return cents.limit(MAX_CLASSES + 1).agg(F.when(n <= MAX_CLASSES, model).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_CLASSES} classes"))).alias("m"))
+def model_blocks(cents: DataFrame) -> list[Column]:
+    """The centroids as array values (scalar sub-queries) of about MAX_CLASSES classes at most, by hash of the class, so a
+    task holds one block at a time whatever the size of the model."""
+    blocks = max(1, -(-cents.count() // (MAX_CLASSES * 4 // 5)))
+    own = lambda b: cents if blocks == 1 else cents.where(F.pmod(F.xxhash64("class"), F.lit(blocks)) == b)
+    return [own(b).agg(F.sort_array(F.collect_list(F.struct("class", "centroid"))).alias("m")).scalar() for b in range(blocks)]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,10 +42,13 @@ def dot(a: Column, b: Column) -> Column:
 
 def linear_scores(df: DataFrame, cents: DataFrame, ident: str, vec: str) -> DataFrame:
     """Dot product of each vector with each centroid: (ident, class, score), 6 places.
-    The model enters as one scalar value, so the samples are not shuffled."""
-    one = df.select(ident, vec, as_model(cents).scalar().alias("_m"))
+    The model enters as scalar values, block by block, so the samples are not shuffled."""
     sc = F.transform("_m", lambda c: F.struct(c["class"].cast("string").alias("class"), F.round(dot(F.col(vec), c["centroid"]), 6).alias("score")))
-    return one.select(ident, F.inline(sc))
+    out = None
+    for m in model_blocks(cents):
+        part = df.select(ident, vec, m.alias("_m")).select(ident, F.inline(sc))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def score_batches(df: DataFrame, predict: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
@@ -54,10 +57,18 @@ def score_batches(df: DataFrame, predict: Callable[[Iterator[pd.DataFrame]], Ite
 
 
 def assign_clusters(points: DataFrame, cents: DataFrame, ident: list[str], vec: str) -> DataFrame:
-    """Nearest centroid and its distance; the lower class wins a tie."""
-    one = points.select(*ident, vec, as_model(cents).scalar().alias("_m"))
+    """Nearest centroid and its distance; the lower class wins a tie. Blocks of a large model are gone
+    through one after the other, each row keeping the best so far."""
     best = F.array_min(F.transform("_m", lambda c: F.struct(N.dist(F.col(vec), c["centroid"]).alias("d"), c["class"].alias("class"))))
-    return one.select(*ident, best.alias("_b")).select(*ident, F.col("_b.class").alias("class"), F.col("_b.d").alias("d"))
+    blocks = model_blocks(cents)
+    cols = list(dict.fromkeys([*ident, vec]))
+    cur = points.select(cols)
+    for i, m in enumerate(blocks):
+        own = best if not i else F.least("_b", best)
+        cur = cur.select(*cur.columns, m.alias("_m")).select(*cols, own.alias("_b"))
+        if i + 1 < len(blocks):
+            cur = materialise(cur)
+    return cur.select(*ident, F.col("_b.class").alias("class"), F.col("_b.d").alias("d"))
 
 
 def color_clusters(points: DataFrame, vec: str, threshold: float, k: int = 4, seed: int = 7) -> DataFrame:

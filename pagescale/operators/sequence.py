@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pagescale.functions.numeric import with_group
 from pagescale.operators.blocks import Scan, islands, number_rows, scan
 from pagescale.operators.ranking import first_per_key
+from pagescale.session import materialise
 
 BLOCK = 4096
 
@@ -69,8 +70,10 @@ def white_runs(profile: DataFrame, keys: list[str], thres, width, block: int = B
 
 
 def cut_projection(profile: DataFrame, keys: list[str], width, thres, block: int = BLOCK) -> DataFrame:
-    """Groups between the white runs, borders included; none with fewer than two runs."""
-    runs = white_runs(profile, keys, thres, width, block)
+    """Groups between the white runs, borders included; none with fewer than two runs. The profile, a row per position, is
+    written once and read by every scan, not made anew for each."""
+    profile = materialise(profile)
+    runs = materialise(white_runs(profile, keys, thres, width, block))
     end = profile.groupBy(*keys).agg((F.max("pos") + 1).alias("_end"))
     d = scan(runs, keys, ["lo"], _block("lo", block), _p=Scan("prev", F.col("hi")), _n=Scan("next", F.col("lo")))
     d = d.where(F.col("_p").isNotNull() | F.col("_n").isNotNull()).join(end, keys)

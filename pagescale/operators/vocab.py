@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagescale.operators.blocks import number_rows
+from pagescale.operators.blocks import number_rows, rank_all
 
-# A character vocabulary holds at most one row per Unicode code point, so it is ranked
-# in one small task and may be broadcast. A vocabulary of longer tokens is not.
+# A character vocabulary holds at most one row per Unicode code point and may be
+# broadcast. A vocabulary of longer tokens may be of any size.
 
 
 def build_vocab(chars: DataFrame, ch: str = "ch", first: list[str] | None = None, pad: bool = False) -> DataFrame:
     """(ch, label): distinct values numbered from 0 (1 with ``pad``, 0 then means padding),
     in sorted order, or by first place when ``first`` names the order columns."""
-    one = F.lit(1).alias("_k")
     if first is None:
-        d, order, block = chars.select(F.col(ch).alias("ch")).distinct(), ["ch"], F.ascii("ch")
+        d, order = chars.select(F.col(ch).alias("ch")).distinct(), ["ch"]
     else:
-        d = chars.groupBy(F.col(ch).alias("ch")).agg(F.min(F.struct(*first)).alias("_f"))
-        order, block = ["_f"], None
-    d = number_rows(d.select("*", one), ["_k"], order, block, "_rn")
+        d, order = chars.groupBy(F.col(ch).alias("ch")).agg(F.min(F.struct(*first)).alias("_f")), ["_f", "ch"]
+    d = rank_all(d, order, "_rn")
     return d.select("ch", (F.col("_rn") - (0 if pad else 1)).alias("label"))
 
 
@@ -37,7 +35,7 @@ def merge_vocab(a: DataFrame, b: DataFrame) -> DataFrame:
     the next labels in order of first place."""
     fresh = b.join(a.select("ch"), "ch", "left_anti").groupBy("ch").agg(F.min("pos").alias("_f"))
     base = a.agg(F.coalesce(F.max("label") + 1, F.lit(0)).alias("n")).scalar()
-    fresh = number_rows(fresh.withColumn("_k", F.lit(1)), ["_k"], ["_f", "ch"], None, "_rn")
+    fresh = rank_all(fresh, ["_f", "ch"], "_rn")
     return a.select("ch", "label").unionByName(fresh.select("ch", (F.col("_rn") - 1 + base).alias("label")))
 
 
@@ -70,10 +68,13 @@ def split_by_label(df: DataFrame, cut: int, order: list[str], label: str = "labe
     return d.join(ranks, ["part", label])
 
 
-def as_map(vocab: DataFrame, inverse: bool = False) -> Column:
-    """The vocabulary as one map value (a scalar sub-query); for character vocabularies."""
-    pair = F.struct("label", "ch") if inverse else F.struct("ch", "label")
-    return vocab.agg(F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("m")).scalar()
+def by_label(vocab: DataFrame) -> Column:
+    """The characters as one array indexed by label (a scalar sub-query), null where a label has none; of a label
+    with several characters the smallest. For character vocabularies, whose labels are about as many as characters."""
+    known = vocab.where("label >= 0").groupBy("label").agg(F.min("ch").alias("ch"))
+    every = known.agg(F.coalesce(F.max("label"), F.lit(0)).alias("m")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m").cast("bigint"))).alias("label"))
+    cells = F.array_sort(F.collect_list(F.struct("label", "ch")))
+    return every.join(known, "label", "left").agg(F.transform(cells, lambda s: s["ch"]).alias("m")).scalar()
 
 
 def by_code_point(vocab: DataFrame) -> Column:
@@ -94,8 +95,10 @@ def encode_text(df: DataFrame, col: str, vocab: DataFrame, default: int, out: st
 
 
 def decode_text(df: DataFrame, col: str, vocab: DataFrame, default: str = "~", out: str = "text") -> DataFrame:
-    d = df.withColumn("_m", as_map(vocab, inverse=True))
-    return d.withColumn(out, F.array_join(F.transform(F.col(col), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(default))), "")).drop("_m")
+    """The string of each label array, unknown labels as ``default``; a label's character is one array access."""
+    d = df.withColumn("_m", by_label(vocab))
+    known = lambda i: F.when(i.between(0, F.size("_m") - 1), F.get("_m", i.cast("int")))
+    return d.withColumn(out, F.array_join(F.transform(F.col(col), lambda i: F.coalesce(known(i), F.lit(default))), "")).drop("_m")
 
 
 def to_coo(df: DataFrame, ident: list[str], arr: str) -> DataFrame:
@@ -113,10 +116,10 @@ def from_coo(coo: DataFrame, ident: list[str]) -> DataFrame:
     return got.select(*ident, F.transform("_l", lambda s: s["label"]).alias("labels"))
 
 
-def pad_batches(df: DataFrame, order: list[str], arr: str, size: int, block: Column | None, fill: int = 0) -> DataFrame:
+def pad_batches(df: DataFrame, order: list[str], arr: str, size: int, fill: int = 0) -> DataFrame:
     """Batches of ``size`` consecutive rows; arrays padded to the widest of their batch.
     Adds ``batch`` (from 0), ``width`` and the rows missing in the last batch as ``short``."""
-    d = number_rows(df.withColumn("_k", F.lit(1)), ["_k"], order, block, "_rn").drop("_k")
+    d = rank_all(df, order, "_rn")
     d = d.withColumn("batch", F.floor((F.col("_rn") - 1) / size)).drop("_rn")
     w = d.groupBy("batch").agg(F.max(F.size(arr)).alias("width"), (F.lit(size) - F.count("*")).alias("short"))
     d = d.join(w, "batch")

@@ -12,6 +12,7 @@ from pagescale.plans.vocab_queries import _VOCAB, vocab
 from pagescale.session import scratch_dir
 from pagescale.sources import readers as S
 from pagescale.sources import sinks as W
+from pagescale.sources.files import write_rows
 from pagescale.streaming import monitor as ST
 
 
@@ -78,6 +79,17 @@ def _(spark, sf):
     return r.select("doc_id", "rec", "jis", F.lower(F.hex("bitmap")).alias("bitmap"))
 
 
+@query("src7_read_fixed_records", """
+    SELECT doc_id, i AS rec, ('0x' || substr(h, CAST(i * 128 + 5 AS BIGINT), 4))::BIGINT AS jis, lower(substr(h, CAST(i * 128 + 17 AS BIGINT), 96)) AS bitmap FROM
+      (SELECT doc_id, hex(encode(text)) AS h, unnest(range(1, length(hex(encode(text))) // 128)) AS i FROM documents)""")
+def _(spark, sf):
+    """The bytes of each text written to a file of its own and read back as records, 256 KB a partition."""
+    out = scratch_dir(spark)
+    write_rows(V.documents(spark, sf).select("doc_id", "text"), out, "doc_id", "text", ".rec")
+    r = S.read_fixed_records(spark, out, (64, 1, 2, 2, 8, 48), 2**18)
+    return r.select(F.regexp_extract("path", r"/(\d+)\.rec$", 1).cast("bigint").alias("doc_id"), "rec", "jis", F.lower(F.hex("bitmap")).alias("bitmap"))
+
+
 @query("src8_code_table", """
     SELECT doc_id, label, right(trim(string_split(trim(s), ' ')[-1]), 4) AS code FROM (SELECT doc_id, doc_id || ' ' || translate(text, chr(10), ' ') AS s, doc_id AS label FROM documents WHERE doc_id % 3 > 0)""")
 def _(spark, sf):
@@ -127,6 +139,15 @@ def _(spark, sf):
     return V.documents(spark, sf).select("doc_id", W.finish_transcript("text").alias("text"))
 
 
+@query("snk1_write_transcripts", "SELECT doc_id, " + NORM.format("text") + " AS text FROM documents")
+def _(spark, sf):
+    """A transcript file per document, written and read back."""
+    out = scratch_dir(spark)
+    W.write_transcript_files(V.documents(spark, sf), out, "doc_id")
+    back = S.read_transcripts(spark, f"{out}/*/*.txt", normalize=False)
+    return back.select(F.regexp_extract("path", r"/(\d+)\.txt$", 1).cast("bigint").alias("doc_id"), "text")
+
+
 @query("snk2_results_csv", "SELECT doc_id, y, k, truth, pred FROM word_pairs", "word_pairs")
 def _(spark, sf):
     out = scratch_dir(spark)

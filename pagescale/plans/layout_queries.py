@@ -170,13 +170,12 @@ def _(spark, sf):
     SELECT page, 'row' AS axis, pos, v FROM row_profile UNION ALL SELECT page, 'col', pos, v FROM col_profile
     UNION ALL SELECT page, 'inv', pos, 200 - v FROM row_profile""", "row_profile", "col_profile")
 def _(spark, sf):
-    c = V.cells(spark, sf)
-    inv = C.projection(c.withColumn("side", F.lit(200)), "page", "y", "side")
-    out = None
-    for axis, p in (("row", V.row_profile(spark, sf)), ("col", V.col_profile(spark, sf)), ("inv", inv)):
-        p = p.select("page", F.lit(axis).alias("axis"), "pos", "v")
-        out = p if out is None else out.unionByName(p)
-    return out
+    """Both axes from one pass over the cells; the inverted form is that of the rows."""
+    both = F.explode(F.array(F.struct(F.lit("row").alias("axis"), F.col("y").alias("at")), F.struct(F.lit("col").alias("axis"), F.col("x").alias("at"))))
+    c = V.cells(spark, sf).select("page", both.alias("_b")).select(F.struct("page", "_b.axis").alias("k"), F.col("_b.at").alias("at"))
+    p = C.projection(c, "k", "at").select("k.page", "k.axis", "pos", "v")
+    inv = F.when(F.col("axis") == "row", F.struct(F.lit("inv").alias("axis"), (200 - F.col("v")).alias("v")))
+    return p.select("page", "pos", F.inline(F.array_compact(F.array(F.struct("axis", "v"), inv)))).select("page", "axis", "pos", "v")
 
 
 @query("agg18_remove_noise", """

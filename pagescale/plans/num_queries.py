@@ -21,10 +21,9 @@ def _(spark, sf):
     FROM (SELECT *, exp(least(greatest(score, -100), 100)) AS e, max(score) OVER p AS m, sum(exp(least(greatest(score, -100), 100))) OVER p AS s
           FROM candidates WINDOW p AS (PARTITION BY vec_id))""", "candidates")
 def _(spark, sf):
-    c = candidates(spark, sf)
-    c = N.with_group(c.withColumn("_e", F.exp(F.least(F.greatest("score", F.lit(-100.0)), F.lit(100.0)))), ["vec_id"], m=F.max("score"), s=F.sum("_e"))
-    return c.select("vec_id", "class", F.round(F.col("score") / F.col("m"), 6).alias("normed"), F.round(F.col("_e") / F.col("s"), 6).alias("soft"),
-                    F.round(N.log_add("score", "m"), 6).alias("log_sum"))
+    c = N.softmax(N.norm_max(candidates(spark, sf), ["vec_id"], "score"), ["vec_id"], "score")
+    c = N.with_group(c, ["vec_id"], m=F.max("score"))
+    return c.select("vec_id", "class", F.round("normed", 6).alias("normed"), F.round("soft", 6).alias("soft"), F.round(N.log_add("score", "m"), 6).alias("log_sum"))
 
 
 @query("num2_row_norm", """

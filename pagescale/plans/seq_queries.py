@@ -241,11 +241,12 @@ def _(spark, sf):
 
 
 @query("win18_make_target", """
-    SELECT doc_id, y, step, CASE WHEN step % 2 = 0 THEN 'blank' ELSE substr(first, CAST(step // 2 + 1 AS BIGINT), 1) END AS cls
-    FROM (SELECT doc_id, y, w AS first, unnest(range(0, 2 * length(w) + 1)) AS step FROM words WHERE k = 0)""", "words")
+    SELECT doc_id, y, k, 2 * length(w) + 1 AS steps, '-' || regexp_replace(w, '(.)', '\\1-', 'g') AS target FROM words""", "words")
 def _(spark, sf):
-    """Targets of the first word of every line."""
-    return S.make_target(V.words(spark, sf).where("k = 0"), ["doc_id", "y"], F.split("w", ""), "blank")
+    """Targets of every word, its steps put together."""
+    t = S.make_target(V.words(spark, sf), ["doc_id", "y", "k"], F.split("w", ""), "-")
+    t = t.groupBy("doc_id", "y", "k").agg(F.array_sort(F.collect_list(F.struct("step", "cls"))).alias("l"))
+    return t.select("doc_id", "y", "k", F.size("l").alias("steps"), F.array_join(F.transform("l", lambda s: s["cls"]), "").alias("target"))
 
 
 # ---- profile aggregates ---------------------------------------------------

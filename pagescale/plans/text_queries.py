@@ -169,7 +169,12 @@ def _(spark, sf):
                     T.common_suffix_len("truth", "pred").alias("n_suf"), T.common_overlap_len("truth", "pred").alias("n_over"))
 
 
-@query("txt17_jis_to_unicode")
+_PLANE = ", ".join(f"('{code}', '{ch}')" for code, ch in T.jis_plane())
+
+
+@query("txt17_jis_to_unicode", f"""
+    SELECT p.code, n, coalesce(j.ch, '') AS ch FROM (SELECT lower(hex(two)) AS code, count(*) AS n FROM (SELECT unnest(regexp_extract_all(line, '[!-~]{{2}}')) AS two FROM lines) GROUP BY two) p
+    LEFT JOIN (VALUES {_PLANE}) j(code, ch) ON j.code = p.code""", "lines")
 def _(spark, sf):
     """Each two adjacent letters of a text, read as a JIS code of the kana and kanji rows."""
     pairs = lines(spark, sf).select(F.explode(F.regexp_extract_all("line", F.lit("[!-~]{2}"), F.lit(0))).alias("two")) \

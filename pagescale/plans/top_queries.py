@@ -94,7 +94,7 @@ def _(spark, sf):
            CASE WHEN ('0x' || substr(md5(vec_id || ':5'), 1, 8))::BIGINT / 4294967296 < 0.8 THEN 'train' ELSE 'test' END AS random FROM embeddings""")
 def _(spark, sf):
     e = V.table(spark, sf, "embeddings").select("vec_id")
-    p = R.split_dataset(e, ["vec_id"], 0.8, block=F.floor(F.col("vec_id") / 100_000)).withColumnRenamed("split", "prefix")
+    p = R.split_dataset(e, ["vec_id"], 0.8).withColumnRenamed("split", "prefix")
     return R.split_dataset(p, ["vec_id"], 0.2, "random", 5).withColumnRenamed("split", "random")
 
 

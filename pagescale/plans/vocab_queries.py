@@ -136,7 +136,7 @@ def _(spark, sf):
     FROM (SELECT *, (row_number() OVER (ORDER BY doc_id, y) - 1) // 32 AS batch FROM lines)""", "lines")
 def _(spark, sf):
     d = V.lines(spark, sf).select("doc_id", "y", F.transform(F.filter(F.split("line", ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint")).alias("a"))
-    p = O.pad_batches(d, ["doc_id", "y"], "a", 32, F.floor(F.col("doc_id") / 64))
+    p = O.pad_batches(d, ["doc_id", "y"], "a", 32)
     return p.select("doc_id", "y", "batch", F.size("a").alias("width"), "short", F.size(F.filter("a", lambda c: c > 0)).alias("used"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagescale.functions.numeric import argmax
 from pagescale.functions.text import normalize_text
 from pagescale.operators.blocks import number_rows
+from pagescale.sources.files import SPLIT, read_records
 
 
 def clean_transcript(col, nonl: bool = True, normalize: bool = True) -> Column:
@@ -117,8 +118,10 @@ def parse_fixed_records(df: DataFrame, keep: list[str], content: str, layout) ->
     return d.select(*keep, "rec", code.alias("jis"), F.substring(F.col(content), start + (bat + 1), F.lit(bn)).alias("bitmap"))
 
 
-def read_fixed_records(spark: SparkSession, path, layout="b576") -> DataFrame:
-    return parse_fixed_records(spark.read.format("binaryFile").load(path).select("path", "content"), ["path"], "content", layout)
+def read_fixed_records(spark: SparkSession, path: str, layout="b576", split: int = SPLIT) -> DataFrame:
+    """(path, rec, jis, bitmap) of the record files below a path, in partitions of about ``split`` bytes of whole
+    records, whatever the size of a file."""
+    return read_records(spark, path, LAYOUTS[layout] if isinstance(layout, str) else layout, split)
 
 
 def first_record(category, layout: str) -> Column:

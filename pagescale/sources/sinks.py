@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagescale.functions.text import normalize_text
+from pagescale.sources.files import write_rows
 
 
 def finish_transcript(col, nonl: bool = False, normalize: bool = True) -> Column:
@@ -22,6 +23,11 @@ def write_transcripts(df: DataFrame, path: str, key: str, text: str = "text", no
     df.select(key, body.alias("value")).write.partitionBy(key).text(path)
 
 
+def write_transcript_files(df: DataFrame, path: str, key: str, text: str = "text", normalize: bool = True) -> None:
+    """One text file per row, ``<hashed folder>/<key>.txt``, from as many tasks as the table has."""
+    write_rows(df.select(key, F.encode(finish_transcript(text, normalize=normalize), "UTF-8").alias("_content")), path, key, "_content", ".txt")
+
+
 def write_results_csv(df: DataFrame, path: str) -> None:
     df.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 

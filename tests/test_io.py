@@ -72,3 +72,43 @@ def test_scratch_folder(spark):
     assert sorted(r["id"] for r in second.collect()) == [2, 3, 4]
     import os
     assert not os.path.exists(first._scratch.removeprefix("file:")) and os.path.exists(second._scratch.removeprefix("file:"))
+
+
+def test_record_files_in_ranges(spark, tmp_path):
+    import numpy as np
+    from pagescale.sources import files
+
+    rng = np.random.default_rng(1)
+    want = {}
+    for name, n, odd in (("a.bin", 5000, 0), ("sub/b.bin", 3, 17), ("c.bin", 1, 0), ("d.bin", 0, 5), ("_hidden", 9, 0)):
+        data = rng.integers(0, 256, (n, 576), np.uint8)
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_bytes(data.tobytes() + b"x" * odd)
+        for k in range(1, n if name[0] != "_" else 0):
+            want[(name.split("/")[-1], k)] = (int(data[k, 2]) * 256 + int(data[k, 3]), data[k, 8:512].tobytes())
+    got = R.read_fixed_records(spark, str(tmp_path / "r"), "b576", 300_000)
+    assert got.rdd.getNumPartitions() >= 8
+    assert {(r["path"].split("/")[-1], r["rec"]): (r["jis"], bytes(r["bitmap"])) for r in got.collect()} == want
+    assert R.read_fixed_records(spark, "file:" + str(tmp_path / "r" / "a.bin")).count() == 4999
+    whole = [x for p in files.cut([("f", 10_000), ("g", 64), ("h", 700)], 64, 1, 1000) for x in p]
+    assert [sum(n for f, _, n in whole if f == g) for g in "fgh"] == [155, 0, 9]
+    assert all(sum(n for _, _, n in p) <= 15 for p in files.cut([("f", 10_000), ("h", 700)], 64, 1, 1000))
+    (tmp_path / "none").mkdir()
+    assert R.read_fixed_records(spark, str(tmp_path / "none")).collect() == []
+    with pytest.raises(Exception, match="FileNotFound"):
+        R.read_fixed_records(spark, str(tmp_path / "not there")).collect()
+
+
+def test_a_file_for_each_row(spark, tmp_path):
+    rows = [(f"n {i}/é%", f"text {i}" + ("\n" if i % 2 else "")) for i in range(300)] + [("empty", ""), ("null", None)]
+    df = spark.createDataFrame(rows, "key string, text string").repartition(4)
+    W.write_transcript_files(df, str(tmp_path / "t"), "key")
+    files = [p for p in (tmp_path / "t").glob("*/*") if p.name[0] != "."]
+    assert len(files) == 302 and len(list((tmp_path / "t").iterdir())) > 50
+    import urllib.parse
+    got = {urllib.parse.unquote(p.name[:-4]): p.read_text() for p in files}
+    assert got == {k: (t.rstrip("\n") + "\n" if t else "") for k, t in rows}
+    back = R.read_transcripts(spark, str(tmp_path / "t" / "*" / "*.txt"))
+    assert sorted(r["text"] for r in back.collect()) == sorted(t.rstrip("\n") for _, t in rows if t)  # an empty file has no row
+    W.write_transcript_files(df.limit(3), str(tmp_path / "t"), "key")
+    assert len([p for p in (tmp_path / "t").glob("*/*")]) >= 302

@@ -57,3 +57,25 @@ def test_ligatures(spark):
 def test_jis(spark):
     df = spark.createDataFrame([("2422",), ("3021",), ("ffff",)], "c string")
     assert [r["ch"] for r in T.jis_to_unicode(df, "c").orderBy("c").collect()] == ["あ", "亜", ""]
+
+
+def test_overlap_of_long_texts(spark):
+    import random
+    import time
+
+    from pagescale.functions import text as T
+
+    rnd = random.Random(2)
+    pairs = [("", "a"), (None, "a"), ("abc", "cab"), ("aaaa", "aa")]
+    for _ in range(60):
+        m = rnd.randint(0, 200)
+        mid = "".join(rnd.choice("ab") for _ in range(m))
+        pairs.append(("".join(rnd.choice("ab") for _ in range(rnd.randint(0, 90))) + mid, mid + "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 90)))))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = {r["i"]: r["n"] for r in df.select("i", T.common_overlap_len("a", "b").alias("n")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        want = max((k for k in range(min(len(a or ""), len(b)) + 1) if k == 0 or a[-k:] == b[:k]), default=0)
+        assert got[i] == want, (a, b)
+    t0 = time.time()
+    assert T.overlap_len("ab" * 50_000, "ba" * 50_000) == 99_999 and T.overlap_len("a" * 100_000, "a" * 99_999 + "b") == 99_999
+    assert time.time() - t0 < 1
