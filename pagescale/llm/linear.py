@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagescale.session import materialise
+
+FEW = 100_000  # labels whose counts are broadcast
 Counts = tuple[np.ndarray, np.ndarray]  # feature numbers, counts
 
 
@@ -163,7 +166,8 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, labels: DataFra
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     # a label of very many rows is cut first where its hash order surely has enough, so no task ranks them all
     enough = per_class + 8 * per_class**0.5 + 40
-    size = ids.groupBy("label").agg(F.count("*").alias("all"))
+    size = materialise(ids.groupBy("label").agg(F.count("*").alias("all")))
+    size = F.broadcast(size) if size.count() <= FEW else size
     near = (F.xxhash64("id") / F.lit(2.0**64) + 0.5) * F.col("all") < enough
     picked = ids.join(size, "label").where(near).drop("all").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_class).drop("k").select("id", "label")
 
