@@ -77,8 +77,8 @@ def _as_col(c) -> Column:
 
 
 def unicode_form(col, form: str) -> Column:
-    """NFC or NFKC. Spark 4.1 has no built-in for it: an Arrow UDF gets only the
-    rows that hold a character the form can change, the rest never leave the JVM."""
+    """NFC or NFKC. Spark 4.1 has no built-in for it: an Arrow UDF changes the
+    rows that hold a character the form can change; the others pass it as nulls and are taken as they are."""
     col = _as_col(col)
     floor = {"NFC": "[^\\x{0}-\\x{2FF}]", "NFKC": "[^\\x{0}-\\x{9F}]"}[form]
 

@@ -121,11 +121,9 @@ def merge_intersected(boxes: DataFrame, keys: list[str]) -> DataFrame:
             F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.max("y1").alias("y1"), F.max("x1").alias("x1"), F.sum("n").alias("n")))
 
 
-def sweep_pairs(boxes: DataFrame, keys: list[str], axis: str, block: int = 4096) -> DataFrame:
-    """Neighbours of a sweep: in each column (axis x) or row (axis y) position the next box
-    along the other axis, so the pairs are the ones that see each other, not all overlapping ones.
-    Between two places where a box of the page begins or ends nothing changes, so a box stands once for each
-    such stretch it covers, not for each position. (keys, a, b) distinct."""
+def _stretches(boxes: DataFrame, keys: list[str], axis: str, block: int = 4096) -> DataFrame:
+    """(keys, _at, id, start along the other axis): between two places where a box of the page begins or ends nothing
+    changes, so a box stands once for each such stretch it covers, not for each position."""
     along, c = "y" if axis == "x" else "x", F.col
     end = F.greatest(f"{axis}1", c(f"{axis}0") + 1)
     d = boxes.select(*keys, "id", f"{along}0", c(f"{axis}0").alias("_from"), end.alias("_to"))
@@ -133,7 +131,15 @@ def sweep_pairs(boxes: DataFrame, keys: list[str], axis: str, block: int = 4096)
     places = number_rows(places, keys, ["_p"], F.floor(c("_p") / block), "_k")
     for side in ("_from", "_to"):
         d = d.join(places.withColumnsRenamed({"_p": side, "_k": f"{side}k"}), list(keys) + [side])
-    d = d.select(*keys, "id", f"{along}0", F.explode(F.sequence("_fromk", c("_tok") - 1)).alias("_at"))
+    return d.select(*keys, "id", f"{along}0", F.explode(F.sequence("_fromk", c("_tok") - 1)).alias("_at"))
+
+
+def sweep_pairs(boxes: DataFrame, keys: list[str], axis: str, block: int = 4096) -> DataFrame:
+    """Neighbours of a sweep: in each column (axis x) or row (axis y) position the next box
+    along the other axis, so the pairs are the ones that see each other, not all overlapping ones.
+    (keys, a, b) distinct."""
+    along, c = "y" if axis == "x" else "x", F.col
+    d = _stretches(boxes, keys, axis, block)
     d = scan(d, list(keys) + ["_at"], [f"{along}0", "id"], F.floor(c(f"{along}0") / block), _n=Scan("next", c("id")))
     return d.where(c("_n").isNotNull()).select(*keys, c("id").alias("a"), c("_n").alias("b")).distinct()
 
@@ -183,15 +189,16 @@ def reading_order(lines: DataFrame, keys: list[str]) -> DataFrame:
 
     Rules: x-overlapping lines go by height; others left to right unless a third line
     separates them. All pairs of a page would be quadratic, so edges that follow from
-    others are left out: of the first rule the neighbours of each column of the sweep (all
+    others are left out: of the first rule the lines of neighbouring heights in each column of the sweep (all
     others follow along that column); of the second, for each line, the lowest line left
     of it and the highest line right of it, and the next line in its own rows.
     """
     c = F.col
-    down = sweep_pairs(lines, keys, "x")
-    for side in ("a", "b"):
-        down = down.join(lines.select(*keys, c("id").alias(side), c("y0").alias(f"_{side}")), list(keys) + [side])
-    down = down.where("_a < _b").select(*keys, "a", "b")
+    at = [*keys, "_at"]
+    stood = scan(_stretches(lines, keys, "x"), at, ["y0", "id"], F.floor(c("y0") / 4096), _p=Scan("prev", c("y0")))
+    stood = scan(stood, at, ["y0", "id"], F.floor(c("y0") / 4096), _level=Scan("sum", F.when(c("_p") == c("y0"), 0).otherwise(1)))
+    stood = materialise(stood.select(*at, "id", "_level"))
+    down = stood.withColumnRenamed("id", "a").join(stood.select(*at, c("id").alias("b"), (c("_level") - 1).alias("_level")), [*at, "_level"]).select(*keys, "a", "b").distinct()
     # ends and starts of lines in one sequence along x: what ended before a start is left of it
     ev = lines.select(*keys, F.inline(F.array(
         F.struct(c("x1").alias("x"), F.lit(1).alias("o"), c("id").alias("id"), F.struct(c("y0").alias("y"), c("id").alias("id")).alias("end"), F.lit(None).cast("struct<y:bigint,id:bigint>").alias("start")),
@@ -231,23 +238,62 @@ def _divided(lines: DataFrame, keys: list[str]) -> DataFrame:
     return d.withColumn("rank", c("rank") - 1).drop("_path")
 
 
+def _order_keys(own: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, key): arrays whose order is that of taking, again and again, the first line (by ``rank``) that
+    has all its predecessors behind it. ``edges`` (keys, a, b, ra, rb) have the ranks of both ends.
+
+    A line waits for the latest of all lines before it, m: if that is itself its key is its rank, else it comes in
+    the group right behind m, and there again by the same rule among the lines of that group. m is
+    carried along the edges; only edges that go against the ranks set it off and only what grows is carried
+    on, so rounds are as many as lines in a row are held up, and a page in order needs none."""
+    c = F.col
+    nodes = own.withColumn("key", F.array().cast("array<bigint>"))
+    e = materialise(edges)
+    while True:
+        late = materialise(e.where("ra > rb").groupBy(*keys, c("b").alias("id")).agg(F.max("ra").alias("m")))
+        front = late
+        while not front.isEmpty():
+            step = e.join(front.withColumnRenamed("id", "a"), [*keys, "a"]).where("m > rb").groupBy(*keys, c("b").alias("id")).agg(F.max("m").alias("m"))
+            step = step.join(late.withColumnRenamed("m", "_m"), [*keys, "id"], "left").where("_m is null or m > _m").drop("_m")
+            front = materialise(step)
+            if not front.isEmpty():
+                late = materialise(late.unionByName(front).groupBy(*keys, "id").agg(F.max("m").alias("m")))
+        if late.isEmpty():
+            return nodes.select(*keys, "id", F.concat("key", F.array("rank")).alias("key"))
+        nodes = materialise(nodes.join(late, [*keys, "id"], "left").withColumn("key", F.when(c("m").isNull(), c("key")).otherwise(F.concat("key", F.array("m")))).drop("m"))
+        for end in ("a", "b"):  # edges inside a group stay
+            e = e.join(late.withColumnsRenamed({"id": end, "m": f"_{end}"}), [*keys, end])
+        e = materialise(e.where("_a = _b").drop("_a", "_b"))
+
+
 def topsort(lines: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, rank): the lines of a page from 0 in an order that obeys its edges (keys, a, b:
     a before b). Of the lines whose predecessors are all placed the first in the order of the
     divided page (``_divided``) comes next; where a cycle leaves none, the first of all lines
     left is taken, so only edges into a cycle's lines can be broken.
 
-    A page is one task's group: its lines and edges (a small multiple of the lines, as
-    ``reading_order`` gives them) are bounded by the page."""
+    Pages without cycles are ordered by joins over all lines and edges (``_order_keys``); a page with a cycle, which
+    the broken edges show, is ordered in one task."""
     import heapq
 
+    c = F.col
+    own = materialise(_divided(lines, keys).select(*keys, "id", c("rank").cast("bigint").alias("rank")))
+    e = edges.select(*keys, "a", "b").where("a <> b").distinct()
+    for end in ("a", "b"):
+        e = e.join(own.withColumnsRenamed({"id": end, "rank": f"r{end}"}), [*keys, end])
+    e = materialise(e)
+    ranked = number_rows(_order_keys(own, e, keys), keys, ["key"], F.floor(F.get("key", F.lit(0)) / 4096), "rank").select(*keys, "id", (c("rank") - 1).alias("rank"))
+    ranked = materialise(ranked)
+    circular = materialise(order_faults(e, ranked, keys).select(*keys).distinct())
+    if circular.isEmpty():
+        return ranked
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         place = {r["id"]: (r["rank"], r["id"]) for r in left.select(["id", "rank"]).to_pylist()}
         after, waits = {i: [] for i in place}, dict.fromkeys(place, 0)
-        for e in set(zip(right["a"].to_pylist(), right["b"].to_pylist(), strict=True)) if right.num_rows else ():
-            if e[0] in place and e[1] in place and e[0] != e[1]:
-                after[e[0]].append(e[1])
-                waits[e[1]] += 1
+        for a, b in zip(right["a"].to_pylist(), right["b"].to_pylist(), strict=True) if right.num_rows else ():
+            after[a].append(b)
+            waits[b] += 1
         ready, rest, rank = [place[i] for i in place if not waits[i]], sorted(place.values()), {}
         heapq.heapify(ready)
         at = 0
@@ -268,9 +314,9 @@ def topsort(lines: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
         out = left.select([*keys, "id"])
         return out.append_column("rank", pa.array([rank[i] for i in out["id"].to_pylist()], pa.int64()))
 
-    kinds = ", ".join(f"{k} {lines.schema[k].dataType.simpleString()}" for k in [*keys, "id"])
-    own = _divided(lines, keys).select(*keys, "id", "rank")
-    return own.groupBy(*keys).cogroup(edges.select(*keys, "a", "b").toDF(*keys, "a", "b").groupBy(*keys)).applyInArrow(run, f"{kinds}, rank bigint")
+    kinds = ", ".join(f"{k} {own.schema[k].dataType.simpleString()}" for k in [*keys, "id"])
+    again = own.join(circular, keys, "left_semi").groupBy(*keys).cogroup(e.join(circular, keys, "left_semi").select(*keys, "a", "b").toDF(*keys, "a", "b").groupBy(*keys))
+    return ranked.join(circular, keys, "left_anti").unionByName(again.applyInArrow(run, f"{kinds}, rank bigint"))
 
 
 def order_faults(edges: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:
