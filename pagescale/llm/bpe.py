@@ -6,9 +6,11 @@ token-position rows join the merge table, each piece contracts its leftmost pair
 minimum rank, and the recursion ends when no pair of any piece is in the table. Decoding
 joins token rows with the vocabulary and concatenates the bytes in an ordered aggregation.
 
-Memory: pieces and tokens are handled in slices of bounded size, the cache of a worker holds at
-most 2 * ``CACHE`` pieces (two generations; what is used moves to the young one). Long pieces
-(over ``LONG`` bytes) run in a keyed recursion that keeps one row per position instead of all rounds.
+Memory: pieces go to a query in slices bounded by the rows that all their rounds can make, tokens in slices of
+``SLICE`` that also cut inside a row, the cache of a worker holds at most 2 * ``CACHE`` pieces beside those of the row at
+hand (two generations; what is used moves to the young one). Long pieces (over ``LONG`` bytes) run in a keyed recursion that
+keeps one row per position instead of all rounds and contracts all pairs of a rank at once; its memory grows with the
+longest piece alone.
 Nothing is shuffled. The vocabulary file (under 1 MB) goes to the tasks as a Spark broadcast; the
 tasks never open its path.
 
@@ -28,9 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE = 150_000  # pieces in a generation of a worker's cache
-PIECES = 10_000  # pieces of a recursive query
+ROUNDS = 1_000_000  # rows that all rounds of a recursive query can make, some 50 bytes each
+BYTES = 100_000  # bytes of long pieces in a recursive query, unless one piece alone has more
 SLICE = 200_000  # pieces or tokens handled at a time
 LONG = 64
+MEMORY = 250  # MB a query may use; a long piece adds ``ROW`` bytes for each of its own
+ROW = 600
 
 # A row is a token: piece w, start p, rank r, next start q, next token's rank nr. The key of a
 # pair packs (merged rank, p, q), so its minimum is the leftmost pair of minimum rank.
@@ -44,21 +49,30 @@ with recursive t(i, w, p, r, q, nr) as (
    from t join cut c on t.w = c.w where t.p <> c.q))
 select w, list(r order by p) ids from t where (w, i) in (select w, max(i) from t group by w) group by w"""
 
-# The same for long pieces: rows are replaced by (w, p); only the pair, its left neighbour and the
-# swallowed token (r = -1) change in a round.
+# The same for long pieces, without packed keys: rows are replaced by (w, p). A round contracts the pairs of its
+# piece's minimum rank from the left, of overlapping ones every second, up to the first whose new token makes a pair of
+# lower rank with a neighbour: what contracting them one by one gives. Beside the pairs only their left neighbours and the
+# swallowed tokens (r = -1) change.
 CONTRACT_LONG = """
-with recursive t(w, p, r, q, nr, k) using key (w, p) as (
-  select s.w, s.p, s.r, s.p + 1, s.nr, m.o * 1099511627776 + s.p * 1048576 + s.p + 1
+with recursive t(w, p, r, q, nr, o) using key (w, p) as (
+  select s.w, s.p, s.r, s.p + 1, s.nr, m.o
   from (select *, lead(r) over (partition by w order by p) nr from start) s left join merges m on m.pair = s.r * 1048576 + s.nr
   union
-  (with best as (select w, min(k) k from recurring.t group by w having min(k) is not null),
-    cut as (select b.w, (b.k // 1048576) % 1048576 p, b.k % 1048576 q, b.k // 1099511627776 o, x.q xq, x.nr xnr from best b join recurring.t x on x.w = b.w and x.p = b.k % 1048576),
+  (with best as (select w, min(o) o from recurring.t group by w having min(o) is not null),
+    hit as (select x.w, x.p, x.q, x.o, row_number() over own n, lag(x.q) over own is distinct from x.p head
+            from recurring.t x join best b on b.w = x.w and b.o = x.o window own as (partition by x.w order by x.p)),
+    run as (select *, n - max(if(head, n, 0)) over (partition by w order by p) k from hit),
+    pick as (select c.w, c.p, c.q, c.o, c.n, x.q xq, x.nr xnr, y.p lp, y.r lr
+             from run c join recurring.t x on x.w = c.w and x.p = c.q left join recurring.t y on y.w = c.w and y.q = c.p where c.k % 2 = 0),
+    side as (select *, coalesce(lag(xq) over (partition by w order by p) = p, false) joined from pick),
+    made as (select w, n, o, unnest([if(joined, o, lr) * 1048576 + o, o * 1048576 + xnr]) pair from side),
+    stop as (select a.w, min(a.n) n from made a join merges m on m.pair = a.pair where m.o < a.o group by a.w),
+    cut as (select s.* from side s left join stop e on e.w = s.w where e.n is null or s.n <= e.n),
     changed as (
-      select w, p, o r, xq q, xnr nr from cut
-      union all select c.w, q, -1, -1, null from cut c
-      union all select c.w, x.p, x.r, x.q, c.o from cut c join recurring.t x on x.w = c.w and x.q = c.p and x.r >= 0)
-   select n.w, n.p, n.r, n.q, n.nr, m.o * 1099511627776 + n.p * 1048576 + n.q
-   from changed n left join merges m on m.pair = n.r * 1048576 + n.nr))
+      select w, p, o r, xq q, if(coalesce(lead(p) over (partition by w order by p) = xq, false), o, xnr) nr from cut
+      union all select w, q, -1, -1, null from cut
+      union all select w, lp, lr, p, o from cut where lp is not null and not joined)
+   select n.w, n.p, n.r, n.q, n.nr, m.o from changed n left join merges m on m.pair = n.r * 1048576 + n.nr))
 select w, list(r order by p) ids from t where r >= 0 group by w"""
 
 DECODE = "select d, unhex(string_agg(h, '' order by p)) b from tokens join vocab using (id) group by d"
@@ -78,10 +92,11 @@ class Codec:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in content.splitlines() if x)}
         if max(self.ranks.values()) >= 2**20:
             raise ValueError("ranks of 2^20 and more do not fit the packed keys")
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
         get = self.ranks.get
-        pairs = [(a * 2**20 + b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None]
-        self._put("m", pair=np.array([x for x, _ in pairs], np.int64), o=np.array([x for _, x in pairs], np.int64))
+        splits = [(a, b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None]
+        a, b, o = (np.array(x, np.int64) for x in zip(*splits, strict=True)) if splits else [np.zeros(0, np.int64)] * 3
+        self._put("m", pair=a * 2**20 + b, o=o)
         self.con.execute("create table merges as select * from m")
         voc = pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()), "b": pa.array(list(self.ranks), pa.binary())})
         self.con.register("v", voc)
@@ -98,6 +113,7 @@ class Codec:
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self._put("start", w=np.repeat(np.arange(len(pieces)), sizes), p=place, r=self.byte[flat])
+        self.con.execute(f"set memory_limit = '{MEMORY + len(flat) * ROW // 10**6}MB'")
         got = self.con.sql(sql).to_arrow_table().combine_chunks()
         ids = got["ids"].chunk(0) if got.num_rows else pa.array([], pa.list_(pa.int64()))
         flat, ends = ids.flatten().to_numpy().astype(np.int32), np.cumsum(ids.value_lengths().to_numpy())
@@ -118,12 +134,11 @@ class Codec:
                     young[b] = np.int32(rank).tobytes()
                 else:
                     new.append(b)
-        short = [b for b in new if len(b) <= LONG]
-        for lo in range(0, len(short), PIECES):
-            self._contract(short[lo : lo + PIECES], CONTRACT)
-        for b in new:
-            if len(b) > LONG:
-                self._contract([b], CONTRACT_LONG)
+        short, long = [b for b in new if len(b) <= LONG], sorted((b for b in new if len(b) > LONG), key=len)
+        for part in _parts(short, [len(b) * (len(b) + 1) // 2 for b in short], ROUNDS):
+            self._contract(part, CONTRACT)
+        for part in _parts(long, [len(b) for b in long], BYTES):
+            self._contract(part, CONTRACT_LONG)
         return [young[b] for b in pieces]
 
     def encode(self, lists: pa.ListArray) -> pa.ListArray:
@@ -142,12 +157,14 @@ class Codec:
 
     def decode(self, lists: pa.ListArray) -> list[bytes]:
         sizes = lists.value_lengths().fill_null(0).to_numpy()
-        out = [b""] * len(lists)
-        n = int(sizes.sum())
-        self._put("tokens", d=np.repeat(np.arange(len(lists)), sizes), p=np.arange(n), id=lists.flatten().to_numpy().astype(np.int64))
-        for d, b in self.con.execute(DECODE).fetchall():
-            out[d] = b
-        return out
+        rows, ids = np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy().astype(np.int64)
+        out = [[] for _ in range(len(lists))]
+        for lo in range(0, len(ids), SLICE):
+            part = slice(lo, lo + SLICE)
+            self._put("tokens", d=rows[part], p=np.arange(len(ids[part])), id=ids[part])
+            for d, b in self.con.execute(DECODE).fetchall():
+                out[d].append(b)
+        return [b"".join(x) for x in out]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -161,6 +178,19 @@ def codec(content: bytes) -> Codec:
     return _CODECS[key]
 
 
+def _parts(items: list, costs: list[int], bound: int):
+    """Runs of items that cost at most ``bound`` together, or one item that alone costs more."""
+    part, cost = [], 0
+    for x, c in zip(items, costs, strict=True):
+        if part and cost + c > bound:
+            yield part
+            part, cost = [], 0
+        part.append(x)
+        cost += c
+    if part:
+        yield part
+
+
 def _slices(sizes: np.ndarray):
     """Runs of rows that hold about SLICE items."""
     part = np.cumsum(sizes) // SLICE

@@ -4,7 +4,9 @@ import base64
 import random
 import re
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -156,3 +158,20 @@ def test_tokenizer(spark, docs):
     assert sorted((r.id or 0, bytes(r.decoded), r.n_tokens) for r in both) == sorted((i or 0, (t or "").encode(), len(enc.encode_ordinary(t or ""))) for i, t in rows)
     assert bpe.round_trip(d.limit(0), FILE, public_tokenizers.PATTERN).collect() == []
     assert bpe.decode(spark.createDataFrame([(1, None), (2, [])], "id long, ids array<int>"), FILE).count() == 2
+
+
+def test_tokenizer_bounds():
+    """Many, long and very long pieces and texts within a worker's memory."""
+    own = bpe.Codec(bpe.load_ranks(FILE))
+    enc = tiktoken.Encoding("one", pat_str=r"(?s).+", mergeable_ranks=own.ranks, special_tokens={})
+    rnd = random.Random(3)
+    words = [t for t in own.ranks if len(t) > 3]
+    pieces = ["".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=64)).encode() for _ in range(20_000)]
+    pieces += [bytes(rnd.choices(range(256), k=rnd.randint(65, 300))) for _ in range(100)] + ["".join(rnd.choices("aeintso", k=rnd.randint(65, 300))).encode() for _ in range(200)]
+    pieces += [b"".join(rnd.choices(words, k=40)) for _ in range(20)] + [b"a" * n for n in (65, 66, 127, 200_000)] + ["".join(rnd.choices("etaoin", k=3000)).encode(), b"=" * 2_000_000]
+    for piece, ids in zip(pieces, own.learn(pieces), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == enc._core_bpe.encode_single_piece(piece)
+    byte = {i: t for t, i in own.ranks.items()}
+    ids = np.random.default_rng(4).integers(1000, 50_000, 5_000_000, np.int32)
+    got = own.decode(pa.array([[], ids, None, ids[:3]], pa.list_(pa.int32())))
+    assert got == [b"", b"".join(byte[i] for i in ids.tolist()), b"", b"".join(byte[i] for i in ids[:3].tolist())]
