@@ -213,6 +213,8 @@ def profile_kde(profile: DataFrame, keys: list[str], n: int, h: float) -> DataFr
 def cells_from_pivots(px: DataFrame, py: DataFrame, size: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """Cells between consecutive cut positions of both axes, page borders added.
     ``size`` has (keys, h, w). The result is the whole grid of a page."""
+    size = materialise(size)  # a row per page, read eight times
+
     def bands(p, end, lo, hi):
         all_pos = p.select(*keys, F.col("pos").cast("bigint").alias("pos")).unionByName(size.select(*keys, F.lit(0).cast("bigint").alias("pos"))) \
             .unionByName(size.select(*keys, F.col(end).cast("bigint").alias("pos"))).distinct()
@@ -238,7 +240,9 @@ def edge_flags(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def detect_blocks(flags: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """Spanning blocks: a start has l = t = 1; its end column is the first r = 1 at or right
-    of it in its row, its end row the first b = 1 at or below it in that column."""
+    of it in its row, its end row the first b = 1 at or below it in that column. The flags are
+    written once for the scans."""
+    flags = materialise(flags)
     row = scan(flags, list(keys) + ["cy"], ["cx"], _block("cx", block), _ex=Scan("next", F.when(F.col("r") == 1, F.col("cx"))))
     starts = row.where("l = 1 and t = 1").select(*keys, "cy", "cx", F.when(F.col("r") == 1, F.col("cx")).otherwise(F.col("_ex")).alias("ex"))
     col = scan(flags, list(keys) + ["cx"], ["cy"], _block("cy", block), _ey=Scan("next", F.when(F.col("b") == 1, F.col("cy"))))
