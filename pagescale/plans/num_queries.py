@@ -6,6 +6,7 @@ from pagescale.functions import boxes as B
 from pagescale.functions import numeric as N
 from pagescale.plans.registry import query
 from pagescale.plans.views import (blocks, candidates, cells, col_profile, line_boxes, page_words, table)
+from pagescale.session import materialise
 
 
 @query("num1_binarize_midrange", """
@@ -193,7 +194,7 @@ def _(spark, sf):
            round((w.y0 - b.y0) / (b.y1 - b.y0), 6) AS y0r, round((w.y1 - b.y0) / (b.y1 - b.y0), 6) AS y1r
     FROM page_words w JOIN blocks b ON w.page = b.page AND w.y0 // 5 = b.id""", "page_words", "blocks")
 def _(spark, sf):
-    bl = blocks(spark, sf).withColumnRenamed("id", "blk")
+    bl = materialise(blocks(spark, sf).withColumnRenamed("id", "blk"))  # read three times
     on = ["page", "blk"]
     w = page_words(spark, sf).drop("w").withColumn("blk", F.floor(F.col("y0") / 5))
     r = B.to_ratio(w, bl, on)
