@@ -2,8 +2,8 @@
 
 Every vector is stored with its distances to ``pivots`` pivots. For a query the table gives
 max |d(q, p) - d(c, p)| as a lower bound of d(q, c), and with the norms an upper bound of the inner
-product. Candidates are evaluated in the order of their bounds until the next bound is
-below the k-th best score; what is left cannot enter, so the answer is exact.
+product. The candidates of the highest bounds are evaluated first and give a k-th best score; those whose
+bound is below it cannot enter, the others are evaluated, so the answer is exact.
 
 The query set meets all rows in blocks: rows and queries are hashed to blocks of a fixed
 size, a task holds one block of each, and only the k best of a (query, block) leave it. The
@@ -26,7 +26,7 @@ from pagescale.session import materialise
 
 ROWS = 8192  # candidates in a block
 QUERIES = 512  # queries in a block
-FIRST = 256  # candidates evaluated before the first test
+FIRST = 256  # candidates evaluated before the test
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -67,30 +67,27 @@ def pivot_table(vectors: DataFrame, pivots: int) -> DataFrame:
     return vectors.mapInArrow(run, "id bigint, dim int, v array<double>, piv array<double>")
 
 
-def best(q: np.ndarray, qp: np.ndarray, q_id: int, x: np.ndarray, xp: np.ndarray, norms: np.ndarray, ids: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best rows of one block for one query, exactly."""
-    bound[ids == q_id] = -np.inf
-    n, done = len(ids), 0
-    top_s, top_i = np.zeros(0), np.zeros(0, np.int64)
-    left = np.argpartition(-bound, min(FIRST, n - 1))[:FIRST] if n > FIRST else np.arange(n)
-    rest = None
-    while len(left):
-        s = np.r_[top_s, x[left] @ q]
-        i = np.r_[top_i, ids[left]]
-        own = np.isfinite(np.r_[np.zeros(len(top_s)), bound[left]])
-        s, i = s[own], i[own]
+def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, bound: np.ndarray, k: int):
+    """Ids and scores of the k best rows of one block for each of some queries, exactly. ``bound`` (queries, rows) is -inf
+    for a query's own row. The rows of the highest bounds give a k-th best score; rows whose bound is below it
+    for every query are settled, the others meet all these queries in one product."""
+    n = len(ids)
+    kth = np.full(len(q), -np.inf)
+    for j, own in enumerate(bound):
+        head = np.argpartition(own, n - FIRST)[n - FIRST :] if n > FIRST else np.arange(n)
+        head = head[np.isfinite(own[head])]
+        if len(head) >= k:
+            kth[j] = np.partition(x[head] @ q[j], len(head) - k)[len(head) - k]
+    open_ = (bound >= kth[:, None]) & np.isfinite(bound)
+    rows = np.flatnonzero(open_.any(0))
+    scores, open_, ids = q @ x[rows].T, open_[:, rows], ids[rows]
+    for s, mine in zip(scores, open_, strict=True):
+        s, i = s[mine], ids[mine]
+        if len(s) > k:
+            high = s >= np.partition(s, len(s) - k)[len(s) - k]
+            s, i = s[high], i[high]
         order = np.lexsort((i, -s))[:k]
-        top_s, top_i = s[order], i[order]
-        kth = top_s[-1] if len(top_s) == k else -np.inf
-        if rest is None:  # in the order of the bounds, without what is settled
-            seen = np.zeros(n, bool)
-            seen[left] = True
-            rest = np.flatnonzero(~seen & (bound >= kth) & np.isfinite(bound))
-            rest = rest[np.argsort(-bound[rest], kind="stable")]
-        step = rest[done : done + 4 * FIRST]
-        done += len(step)
-        left = step[bound[step] >= kth]  # the first bound below the k-th best ends it
-    return top_i, top_s
+        yield i[order], s[order]
 
 
 def _cell(k: int):
@@ -100,7 +97,18 @@ def _cell(k: int):
             ids, x, xp = right["id"].to_numpy(), matrix(right["v"]), matrix(right["piv"])
             qid, q, qp = left["id"].to_numpy(), matrix(left["v"]), matrix(left["piv"])
             xx, qq = (x * x).sum(1), (q * q).sum(1)
-            single = len(np.unique(ids)) == len(ids)
+            u, inv = np.unique(ids, return_inverse=True)
+            single = len(u) == len(ids)
+
+            def folded(q, own, x):
+                for j, one in enumerate(q):
+                    s = np.full(len(u), -np.inf)
+                    np.maximum.at(s, inv, x @ one)
+                    keep = u != own[j]
+                    i, s = u[keep], s[keep]
+                    o = np.lexsort((i, -s))[:k]
+                    yield i[o], s[o]
+
             xt = np.ascontiguousarray(xp.T.astype(np.float32))
             for lo in range(0, len(q), 32):
                 part = qp[lo : lo + 32].astype(np.float32)
@@ -112,18 +120,12 @@ def _cell(k: int):
                     np.maximum(low, gap, out=low)
                 size = qq[lo : lo + 32, None] + xx[None, :]
                 upper = (size - low.astype(float) ** 2) / 2 + 1e-5 * size + 1e-3  # rounding of the bound never drops a row
-                for j in range(len(part)):
-                    a = lo + j
-                    if single:
-                        i, s = best(q[a], qp[a], qid[a], x, xp, xx, ids, upper[j], k)
-                    else:  # repeated ids: fold before cutting
-                        u, inv = np.unique(ids, return_inverse=True)
-                        s = np.full(len(u), -np.inf)
-                        np.maximum.at(s, inv, x @ q[a])
-                        keep = u != qid[a]
-                        u, s = u[keep], s[keep]
-                        o = np.lexsort((u, -s))[:k]
-                        i, s = u[o], s[o]
+                if single:
+                    upper[ids[None, :] == qid[lo : lo + 32, None]] = -np.inf
+                    tops = best(q[lo : lo + 32], x, ids, upper, k)
+                else:  # repeated ids: fold before cutting
+                    tops = folded(q[lo : lo + 32], qid[lo : lo + 32], x)
+                for a, (i, s) in enumerate(tops, lo):
                     out_q.append(np.full(len(i), qid[a]))
                     out_i.append(i)
                     out_s.append(s)

@@ -166,3 +166,20 @@ def test_top_k(spark, monkeypatch, rows_in, queries_in, first):
     assert topk.top_k(topk.quantised(vectors(spark, [])), F.col("id") % 20 == 0).collect() == []
     few = topk.top_k(topk.quantised(vectors(spark, [(0, [1.0], None, None), (2, [1.0], None, None), (1, [1.0], None, None)])), F.col("id") % 20 == 0)
     assert [(r["rank"], r.vec_id, r.score) for r in few.orderBy("rank").collect()] == [(1, 1, 4096), (2, 2, 4096)]
+
+
+@pytest.mark.parametrize("first", [3, 40, 1000])
+def test_open_rows_of_several_queries_meet_in_one_product(monkeypatch, first):
+    """Ties, a query's own row and queries with fewer than k rows, with true bounds of any width."""
+    monkeypatch.setattr(topk, "FIRST", first)
+    rng = np.random.default_rng(3)
+    x, ids = np.floor(rng.normal(size=(200, 3)) * 4), rng.permutation(200)
+    true = x[:9] @ x.T
+    bound = true + rng.integers(0, 5, true.shape)
+    bound[np.arange(9), np.arange(9)] = -np.inf
+    bound[8, 2:] = -np.inf
+    got = list(topk.best(x[:9], x, ids, bound, 5))
+    for j, (i, s) in enumerate(got):
+        want = sorted((-true[j, c], ids[c]) for c in range(200) if np.isfinite(bound[j, c]))[:5]
+        assert [(-b, a) for a, b in zip(i, s, strict=True)] == want
+    assert [len(i) for i, _ in got] == [5] * 8 + [2]
