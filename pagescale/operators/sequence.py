@@ -31,11 +31,12 @@ def apply_renumbering(cells: DataFrame, mapping: DataFrame, keys: list[str]) ->
     return cells.join(mapping, list(keys) + ["label"], "left").withColumn("label", F.coalesce("new", F.lit(0))).drop("new")
 
 
-def renumber_by_xcenter(objects: DataFrame, keys: list[str], width: int = 1 << 16) -> DataFrame:
-    """(keys, label, new): labels numbered from 1 by x-centre; a missing box goes last."""
+def renumber_by_xcenter(objects: DataFrame, keys: list[str], width: int | None = 1 << 16) -> DataFrame:
+    """(keys, label, new): labels numbered from 1 by x-centre; a missing box goes last. ``width=None`` reads the
+    objects once, in a plain window, for keys whose objects come from one input row."""
     xc = F.col("x0") + F.col("x1")
     d = objects.withColumn("_xc", F.struct(xc.isNull().alias("missing"), xc.alias("at")))
-    block = F.coalesce(F.floor(xc / width), F.lit(1 << 40) + F.floor(F.col("label") / width))  # behind every block of a box
+    block = None if width is None else F.coalesce(F.floor(xc / width), F.lit(1 << 40) + F.floor(F.col("label") / width))  # behind every block of a box
     return number_rows(d, keys, ["_xc", "label"], block, "new").select(*keys, "label", "new")
 
 
