@@ -131,7 +131,7 @@ def frange(lo, hi, step) -> Column:
 def lookup_clamped(grid: DataFrame, points: DataFrame, keys, v: str, fill: str | None = None) -> DataFrame:
     """Value of ``grid`` (keys, y, x, v) at points (keys, y, x, ...). Indices outside are
     clamped to the border; with ``fill='origin'`` too large ones go to index 0 instead.
-    Cells without a row are 0. Two grouped joins, no cell set is gathered."""
+    Cells without a row are 0. Two grouped joins, no cell set is gathered; the points are hashed, so that the cells are not sorted."""
     keys = list(keys)
     size = grid.groupBy(*keys).agg(F.max("y").alias("_my"), F.max("x").alias("_mx"))
 
@@ -140,9 +140,9 @@ def lookup_clamped(grid: DataFrame, points: DataFrame, keys, v: str, fill: str |
             return F.when(F.col(c) > F.col(m), 0).otherwise(F.col(c))
         return F.greatest(F.least(F.col(c), F.col(m)), F.lit(0))
 
-    p = points.join(size, keys).withColumn("_gy", index("y", "_my")).withColumn("_gx", index("x", "_mx")).drop("_my", "_mx")
+    p = points.join(size.hint("shuffle_hash"), keys).withColumn("_gy", index("y", "_my")).withColumn("_gx", index("x", "_mx")).drop("_my", "_mx")
     g = grid.select(*keys, F.col("y").alias("_gy"), F.col("x").alias("_gx"), v)
-    return p.join(g, keys + ["_gy", "_gx"], "left").withColumn(v, F.coalesce(v, F.lit(0))) \
+    return p.hint("shuffle_hash").join(g, keys + ["_gy", "_gx"], "left").withColumn(v, F.coalesce(v, F.lit(0))) \
         .withColumnsRenamed({"_gy": "gy", "_gx": "gx"})
 
 

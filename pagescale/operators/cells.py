@@ -32,20 +32,21 @@ def find_objects(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def remove_noise(cells: DataFrame, keys: list[str], minsize: int, border: int | None = None) -> DataFrame:
     """Drop components of fewer than ``minsize`` cells; with ``border`` also those of a
-    box area below 1.2 * minsize whose middle is nearer than that to the page's edge."""
+    box area below 1.2 * minsize whose middle is nearer than that to the page's edge.
+    The components are hashed, so the cells, the larger side by far, are not sorted."""
     obj = find_objects(cells, keys)
     keep = F.col("n") >= minsize
     if border is not None:
-        page = obj.groupBy(*keys).agg(F.max("y1").alias("_h"), F.max("x1").alias("_w"))
-        obj = obj.join(page, keys)
+        page = cells.groupBy(*keys).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+        obj = obj.join(page.hint("shuffle_hash"), keys)
         cy, cx = (F.col("y0") + F.col("y1")) / 2, (F.col("x0") + F.col("x1")) / 2
         edge = (cx < border) | (cx > F.col("_w") - border) | (cy < border) | (cy > F.col("_h") - border)
         keep = keep & ~(((F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")) < 1.2 * minsize) & edge)
-    return cells.join(obj.where(keep).select(*keys, "label"), keys + ["label"], "left_semi")
+    return cells.join(obj.where(keep).select(*keys, "label").hint("shuffle_hash"), keys + ["label"], "left_semi")
 
 
 def keep_marked(cells: DataFrame, markers: DataFrame, keys: list[str]) -> DataFrame:
-    """Components that touch a marked cell."""
+    """Components that touch a marked cell. Marked cells and touched components are hashed, the cells are not sorted."""
     return cells.join(_touched(cells, markers, keys), keys + ["label"], "left_semi")
 
 
@@ -55,7 +56,7 @@ def remove_marked(cells: DataFrame, markers: DataFrame, keys: list[str]) -> Data
 
 def _touched(cells, markers, keys):
     on = keys + ["y", "x"]
-    return cells.join(markers.select(*on), on, "left_semi").select(*keys, "label").distinct()
+    return cells.join(markers.select(*on).hint("shuffle_hash"), on, "left_semi").select(*keys, "label").distinct().hint("shuffle_hash")
 
 
 def correspondences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
