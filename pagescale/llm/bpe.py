@@ -6,7 +6,7 @@ token-position rows join the merge table, each piece contracts its leftmost pair
 minimum rank, and the recursion ends when no pair of any piece is in the table. Decoding
 joins token rows with the vocabulary and concatenates the bytes in an ordered aggregation.
 
-Memory: pieces go to a query in slices bounded by the rows that all their rounds can make, tokens in slices of
+Memory: batches of texts are bounded in bytes; pieces go to a query in slices bounded by the rows that all their rounds can make, tokens in slices of
 ``SLICE`` that also cut inside a row, the cache of a worker holds at most 2 * ``CACHE`` pieces beside those of the row at
 hand (two generations; what is used moves to the young one). Long pieces (over ``LONG`` bytes) run in a keyed recursion that
 keeps one row per position instead of all rounds and contracts all pairs of a rank at once; its memory grows with the
@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagescale.session import small_batches
+
 CACHE = 150_000  # pieces in a generation of a worker's cache
 ROUNDS = 1_000_000  # rows that all rounds of a recursive query can make, some 50 bytes each
 BYTES = 100_000  # bytes of long pieces in a recursive query, unless one piece alone has more
@@ -200,7 +202,7 @@ def _slices(sizes: np.ndarray):
 
 def _pieces(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
     cut = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
-    return docs.select(F.col(id_col).alias("id"), cut.alias("pieces"))
+    return small_batches(docs).select(F.col(id_col).alias("id"), cut.alias("pieces"))
 
 
 def _packed(ids: pa.ListArray) -> list[bytes]:

@@ -2,13 +2,17 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
+from pagescale import session
 from pagescale.operators import graph as G
 from pagescale.operators import ranking as R
 from pagescale.operators.blocks import Scan, scan
+from pagescale.operators.sequence import renumber_by_xcenter
 from pagescale.plans import views as V
 
 
@@ -91,3 +95,49 @@ def test_near_components_contract_stretches_first(spark, monkeypatch, stretch):
     assert len(near) == nodes.count()
     if stretch == 1000:  # all edges in one stretch: every vertex has one pointer, to the smallest of its class
         assert {(r["k"], r["r"]) for r in G._contracted(e.coalesce(1)).collect()} >= {x for x in near if x[0] == x[1]}
+
+
+def test_a_full_split_is_dealt_in_parts(spark, sf, monkeypatch):
+    """Partitions do not grow with the table: each gets PART of a split."""
+    monkeypatch.setattr(session, "PART", 1024)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        docs = V.table(spark, sf, "documents")
+        assert session.by_key(docs, "doc_id").rdd.getNumPartitions() == 4 * docs.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("name", ["agg18_remove_noise", "join10_keep_marked", "join10_remove_marked", "num7_lookup_clamped"])
+def test_cells_are_not_sorted(spark, sf, name):
+    """What meets the cells is hashed."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_numbering_by_xcenter_splits_texts_once(spark, sf):
+    df = queries()["win2_renumber_by_xcenter"](spark, sf)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Generate posexplode") == 1
+    boxes = spark.createDataFrame([(p, i, x, x and x + 2) for p in (1, None) for i, x in enumerate([5, None, 3, 5, 90_000])], "page int, label bigint, x0 bigint, x1 bigint")
+    read = lambda d: sorted((str(r["page"]), r["label"], r["new"]) for r in d.collect())
+    assert read(renumber_by_xcenter(boxes, ["page"], width=None)) == read(renumber_by_xcenter(boxes, ["page"]))
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(session, "BATCH", 1 << 16)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    try:
+        d = session.small_batches(spark.range(0, 400, 1, 1).select(F.repeat(F.lit("abcd"), F.when(F.col("id") == 7, 100_000).otherwise(256)).alias("t")))
+
+        def count(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+        sizes = [r["n"] for r in d.mapInArrow(count, "n bigint").collect()]
+        assert sum(sizes) == 400 and max(sizes) <= 64
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch") if before is None else spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
