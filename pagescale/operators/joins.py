@@ -129,14 +129,15 @@ def extract_template(words: DataFrame, areas: DataFrame, template: DataFrame, ke
     """Template rows (tbl, key, seq, bbox_index, x0r, x1r, y0r, y1r) take the detected
     area of their rank, cut it by their ratios, and collect the words whose middle lies
     inside: (keys, tbl, key, seq, box columns, word columns). The template is a form
-    description, small by nature; the areas are not broadcast."""
+    description, small by nature, and broadcast: its few ranks would gather the areas in as many tasks.
+    The areas are not broadcast, but hashed, so that the words need not be sorted."""
     a = areas.select(*keys, F.col("rank").alias("bbox_index"), *B.BOX)
-    cells = B.cut_boxes(a.join(template, "bbox_index")).select(*keys, "tbl", "key", "seq", *B.BOX)
+    cells = B.cut_boxes(a.join(F.broadcast(template), "bbox_index")).select(*keys, "tbl", "key", "seq", *B.BOX)
     w = words.withColumns({"_my": F.floor((F.col("y0") + F.col("y1")) / 2), "_mx": F.floor((F.col("x0") + F.col("x1")) / 2)})
     size = TILE
     tw = _sided(w, keys, "a_").withColumn("_ty", F.floor(F.col("a__my") / size["y"])).withColumn("_tx", F.floor(F.col("a__mx") / size["x"]))
     tc = _tile(_sided(cells, keys, "b_"), "b_", ("y", "x"), size)
-    got = tw.join(tc, list(keys) + ["_ty", "_tx"]).where(B.center_in("a_", "b_"))
+    got = tw.join(tc.hint("shuffle_hash"), list(keys) + ["_ty", "_tx"]).where(B.center_in("a_", "b_"))
     return got.select(*keys, F.col("b_tbl").alias("tbl"), F.col("b_key").alias("key"), F.col("b_seq").alias("seq"),
                       *[F.col("a_" + c).alias(c) for c in words.columns if c not in keys])
 

@@ -115,7 +115,8 @@ TPL_WORDS = """SELECT c.page, tbl, key, seq, w.id, w.w FROM tcells c JOIN page_w
 
 
 def template_words(spark, sf):
-    areas = R.rank_areas(V.blocks(spark, sf), PAGE, 3)
+    """Words in the areas of a template. The blocks are held against each other, so they are written once."""
+    areas = R.rank_areas(materialise(V.blocks(spark, sf, dealt=False)), PAGE, 3)
     return J.extract_template(V.page_words(spark, sf), areas, spark.createDataFrame(TEMPLATE, TEMPLATE_SCHEMA), PAGE)
 
 
