@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescale.functions.numeric import argmax
 from pagescale.functions.text import normalize_text
 from pagescale.operators.blocks import number_rows
-from pagescale.sources.files import SPLIT, read_records
+from pagescale.sources.files import SPLIT, openable, read_records, read_rows
 
 
 def clean_transcript(col, nonl: bool = True, normalize: bool = True) -> Column:
@@ -20,8 +22,13 @@ def clean_transcript(col, nonl: bool = True, normalize: bool = True) -> Column:
 
 
 def read_transcripts(spark: SparkSession, path, nonl: bool = True, normalize: bool = True) -> DataFrame:
-    """(path, text): one file is one row."""
-    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(path, text): one file is one row. All files of a kind two folders down (``folder/*/*.txt``), as a row each is written,
+    are listed by the tasks that read them; for any other path Spark lists the files on the driver."""
+    own = re.fullmatch(r"([^*?\[{]+)/\*/\*(\.[^/*?\[{\\]+)", path) if isinstance(path, str) else None
+    if own and openable(own[1]):
+        df = read_rows(spark, own[1], own[2]).select("path", F.col("content").cast("string").alias("text"))
+    else:
+        df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return df.withColumn("text", clean_transcript("text", nonl, normalize))
 
 
