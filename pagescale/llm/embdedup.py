@@ -15,7 +15,8 @@ most the length of the part of w that is orthogonal to y. Every cell that this b
 visited, so no link is missed, whatever the vectors' dimension really is (for a threshold of 0 or more;
 every cell is visited below). Each link is counted once, in the home cell of the vector that counts it.
 
-Cells are cut in blocks of home and visiting rows, so a hot cell is many bounded tasks. A task
+Neighbouring cells form groups of ``HOME`` home rows, which a vector visits once however many of their cells it visits, so the rows that travel
+are as many as vectors times groups, not cells; codes are made where they are compared. Groups are cut in blocks of home and visiting rows, so a hot cell is many bounded tasks. A task
 returns a count for each home row and a spanning forest of its links, never the pairs. Equal
 vectors are one row with a multiplicity.
 
@@ -39,8 +40,8 @@ from pagescale.session import materialise
 
 CENTROIDS = 1024
 PER_CELL = 1024  # vectors for each centroid, until the limit is reached
-HOME, VISIT = 2048, 8192  # rows of a block
-EXACT = 100_000  # pairs recomputed at a time
+HOME, VISIT = 16_384, 16_384  # rows of a block of vectors of up to 64 components, fewer of longer ones
+CELLS = 1 << 20  # numbers that are looked at in one go
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -58,32 +59,56 @@ def _signs(bits: np.ndarray, dim: int) -> np.ndarray:
     return (np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
 
 
-def _coded(vectors: DataFrame, centroids: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """(rep, n, dim, v, code, factor, cell, home): a row for the home and each visited cell."""
+def _near(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home cell of each unit row and the cells it visits (rows x centroids)."""
     lean, side = threshold, np.sqrt(1 - threshold**2)
-
+    near = x @ c.T
+    home = near.argmax(1)
+    gap = near[np.arange(len(x)), home][:, None] - near  # y.c' - y.c
+    apart = ((c * c).sum(1)[home][:, None] + (c * c).sum(1)[None, :] - 2 * (c @ c.T)[home]) - gap * gap
+    visit = (lean * gap <= side * np.sqrt(np.maximum(apart, 0)) + 1e-7) | (lean < 0)  # apart: the part of w orthogonal to y, squared
+    visit[np.arange(len(x)), home] = True
+    return home, visit
+
+
+def _coded(vectors: DataFrame, centroids: dict[int, np.ndarray], threshold: float, groups: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """(rep, n, dim, v, cell): a row a vector with its home cell. With the group of each cell (rep, n, dim, v, own, visits): its home group and
+    all groups with a cell that it visits. Rows are taken a few at a time, so that rows x centroids stay ``CELLS``."""
     def run(batches):
         for b in batches:
             sizes = b.column(2).value_lengths().to_numpy()
             for dim in np.unique(sizes).tolist():
-                own = b.filter(pa.array(sizes == dim))
-                x = matrix(own.column(2))
-                x = x / np.linalg.norm(x, axis=1)[:, None]
-                c = centroids[dim]
-                code, factor = encode(x)
-                near = x @ c.T
-                home = near.argmax(1)
-                gap = near[np.arange(len(x)), home][:, None] - near  # y.c' - y.c
-                apart = ((c * c).sum(1)[home][:, None] + (c * c).sum(1)[None, :] - 2 * (c @ c.T)[home]) - gap * gap
-                visit = (lean * gap <= side * np.sqrt(np.maximum(apart, 0)) + 1e-7) | (lean < 0)  # apart: the part of w orthogonal to y, squared
-                visit[np.arange(len(x)), home] = True
-                row, cell = np.nonzero(visit)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0).take(at), own.column(1).take(at), pa.array(np.full(len(row), dim), pa.int32()), own.column(2).take(at), pa.array([code[i].tobytes() for i in row], pa.binary()), pa.array(factor[row]), pa.array(cell, pa.int32()), pa.array(home[row] == cell)],
-                    ["rep", "n", "dim", "v", "code", "factor", "cell", "home"])
-
-    return vectors.select("rep", "n", "v").mapInArrow(run, "rep bigint, n bigint, dim int, v array<double>, code binary, factor double, cell int, home boolean")
+                every, c = b.filter(pa.array(sizes == dim)), centroids[dim]
+                for lo in range(0, every.num_rows, step := max(1, CELLS // max(len(c), dim))):
+                    own = every.slice(lo, step)
+                    x = matrix(own.column(2))
+                    home, visit = _near(x / np.linalg.norm(x, axis=1)[:, None], c, threshold)
+                    cols = [own.column(0), own.column(1), pa.array(np.full(len(x), dim), pa.int32()), own.column(2)]
+                    if groups is None:
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array(home, pa.int32())], ["rep", "n", "dim", "v", "cell"])
+                        continue
+                    of = groups[dim]
+                    order = np.argsort(of, kind="stable")
+                    names, start = np.unique(of[order], return_index=True)
+                    row, k = np.nonzero(np.logical_or.reduceat(visit[:, order], start, axis=1))
+                    ends = pa.array(np.searchsorted(row, np.arange(len(x) + 1)), pa.int32())
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(of[home], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(names[k], pa.int32()))], ["rep", "n", "dim", "v", "own", "visits"])
+
+    rest = "cell int" if groups is None else "own int, visits array<int>"
+    return vectors.select("rep", "n", "v").mapInArrow(run, f"rep bigint, n bigint, dim int, v array<double>, {rest}")
+
+
+def _grouped(c: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
+    """A group for each cell, of cells that lie near each other (each next to the last one's nearest that is left) and
+    have ``most`` home rows, or of one cell that has more."""
+    out, left, at, group, full = np.zeros(len(c), np.int64), np.ones(len(c), bool), 0, 0, 0
+    for k in range(len(c)):
+        left[at] = False
+        if k and full + rows[at] > most:
+            group, full = group + 1, 0
+        out[at], full = group, full + rows[at]
+        at = int(np.where(left, c @ c[at], -np.inf).argmax())
+    return out
 
 
 def _pairs(threshold: float):
@@ -97,8 +122,9 @@ def _pairs(threshold: float):
             ra, rb, nb = left["rep"].to_numpy(), right["rep"].to_numpy(), right["n"].to_numpy()
             a, b = matrix(left["v"]), matrix(right["v"])
             a, b = a / np.linalg.norm(a, axis=1)[:, None], b / np.linalg.norm(b, axis=1)[:, None]
-            signs = _signs(np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(a), -1), dim)
-            angle = np.arccos(np.clip(left["factor"].to_numpy(), -1, 1))
+            code, factor = encode(a)
+            signs = _signs(code, dim)
+            angle = np.arccos(np.clip(factor, -1, 1))
             least = np.where(angle + turn < np.pi, np.cos(np.minimum(angle + turn, np.pi)), -2) - 1e-5  # of <o', q>
             turned = (b @ rotation(dim).T).astype(np.float32).T
             links, forest, m = np.zeros(len(a), np.int64), Forest(len(a) + len(b)), len(a)
@@ -108,10 +134,11 @@ def _pairs(threshold: float):
             meets = np.flatnonzero(own >= 0)
             forest.join(same[own[meets]], meets + m)  # the row that visits is the one at home
             forest.flat()
-            for lo in range(0, m, 256):
-                i, j = np.nonzero(signs[lo : lo + 256] @ turned >= least[lo : lo + 256, None])
-                for s in range(0, len(i), EXACT):
-                    x, y = i[s : s + EXACT] + lo, j[s : s + EXACT]
+            step, some = max(1, CELLS // len(b)), max(1, CELLS // dim)
+            for lo in range(0, m, step):
+                i, j = np.nonzero(signs[lo : lo + step] @ turned >= least[lo : lo + step, None])
+                for s in range(0, len(i), some):
+                    x, y = i[s : s + some] + lo, j[s : s + some]
                     hit = (np.einsum("ij,ij->i", a[x], b[y]) >= threshold) & (ra[x] != rb[y])
                     x, y = x[hit], y[hit]
                     links += np.bincount(x, nb[y], m).astype(np.int64)
@@ -146,15 +173,24 @@ def link_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     good = good.where((size > 0) & (size < F.lit(float("inf"))))
     ids = materialise(good.select("id", "v"))
     flat = materialise(ids.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    coded = materialise(_coded(flat, _centroids(flat), threshold))
-    sizes = coded.groupBy("dim", "cell").agg(F.sum(F.col("home").cast("int")).alias("h"), F.count("*").alias("w"))
-    sizes = sizes.select("dim", "cell", F.ceil(F.col("h") / HOME).cast("int").alias("hs"), F.ceil(F.col("w") / VISIT).cast("int").alias("ws"))
-    cut = coded.join(F.broadcast(sizes), ["dim", "cell"]).where("hs > 0")  # a row for each centroid, at most CENTROIDS of a length
+    centroids = _centroids(flat)
+    homes = materialise(_coded(flat, centroids, threshold))
+    held = {dim: np.zeros(len(c), np.int64) for dim, c in centroids.items()}
+    for r in homes.groupBy("dim", "cell").count().collect():  # at most CENTROIDS of a length
+        held[r["dim"]][r["cell"]] = r["count"]
+    of_dim = lambda most, dim: max(1, most * 64 // max(64, dim))
+    coded = materialise(_coded(homes, centroids, threshold, {dim: _grouped(c, held[dim], of_dim(HOME, dim)) for dim, c in centroids.items()}), homes)
+    blocks = lambda most: F.ceil(F.count("*") * F.greatest(F.col("dim"), F.lit(64)) / (64 * most)).cast("int")
+    sizes = coded.groupBy("dim", F.col("own").alias("cell")).agg(blocks(HOME).alias("hs"))
+    visited = coded.select("dim", F.explode("visits").alias("cell")).groupBy("dim", "cell").agg(blocks(VISIT).alias("ws"))
+    sizes = materialise(sizes.join(visited, ["dim", "cell"]))
     spot = lambda seed, n: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = cut.where("home").withColumn("hb", spot(1, "hs")).withColumn("wb", every("ws"))
+    cut = coded.select("dim", "rep", "n", "v", F.col("own").alias("cell")).join(F.broadcast(sizes), ["dim", "cell"])  # groups are no more than centroids
+    left = cut.withColumn("hb", spot(1, "hs")).withColumn("wb", every("ws"))
+    cut = coded.select("dim", "rep", "n", "v", F.explode("visits").alias("cell")).join(F.broadcast(sizes), ["dim", "cell"])
     right = cut.withColumn("wb", spot(2, "ws")).withColumn("hb", every("hs"))
-    keys, cols = ["dim", "cell", "hb", "wb"], ["dim", "cell", "hb", "wb", "rep", "n", "v", "code", "factor"]
+    keys, cols = ["dim", "cell", "hb", "wb"], ["dim", "cell", "hb", "wb", "rep", "n", "v"]
     found = left.select(cols).groupBy(*keys).cogroup(right.select(cols).toDF(*cols).groupBy(*keys)).applyInArrow(_pairs(threshold), "rep bigint, links bigint, root bigint")
     found = materialise(found)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
